@@ -1,0 +1,64 @@
+"""Registered queries of the core, with the SQL that checks them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quirelake.operators import drift, nested, rolling
+from quirelake.sources.tables import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {
+    "p1_found": lambda s, d: drift.schema_changes(table(s, d, "export_files")).select("file_id", "table_id", "change", "old_header", "new_header"),
+    "p1_unified": lambda s, d: drift.unified_rows(table(s, d, "export_files")),
+    "p3_found": lambda s, d: rolling.usage_bursts(table(s, d, "usage_events")),
+    "p3_rolling": lambda s, d: rolling.usage_rolling(table(s, d, "usage_events")),
+    "p5_found": lambda s, d: nested.linked_children(table(s, d, "export_files")),
+    "p5_identities": lambda s, d: nested.identity_report(table(s, d, "export_files")),
+}
+
+_DAYS = """
+WITH e AS (
+  SELECT id, lower(trim(engine)) AS engine, trim(timestamp) AS t, coalesce(total_tokens, 0) AS tokens,
+         CAST(coalesce(estimated_cost_usd, 0) AS DECIMAL(28,10)) AS cost
+  FROM (SELECT DISTINCT * FROM usage_events)
+), d AS (
+  SELECT engine, tokens, cost,
+         CAST(CASE WHEN substr(t, 5, 1) = '-' THEN substr(t, 1, 10)
+              ELSE substr(t, 1, 4) || '-' || substr(t, 5, 2) || '-' || substr(t, 7, 2) END AS DATE) AS day
+  FROM e WHERE engine IS NOT NULL AND engine <> ''
+), leaf AS (SELECT engine, day, count(*) AS calls, sum(tokens) AS tokens, sum(cost) AS cost FROM d GROUP BY ALL),
+span AS (SELECT engine, min(day) AS a, max(day) AS b FROM leaf GROUP BY engine),
+cal AS (SELECT engine, a, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM span),
+full_days AS (
+  SELECT cal.engine, cal.a, cal.day, coalesce(calls, 0) AS calls, coalesce(tokens, 0) AS tokens, coalesce(cost, 0) AS cost
+  FROM cal LEFT JOIN leaf ON leaf.engine = cal.engine AND leaf.day = cal.day
+), w AS (
+  SELECT engine, a, day,
+    sum(calls) OVER w7 AS calls_7, sum(tokens) OVER w7 AS tokens_7, sum(cost) OVER w7 AS cost_7,
+    sum(calls) OVER w30 AS calls_30, sum(tokens) OVER w30 AS tokens_30, sum(cost) OVER w30 AS cost_30
+  FROM full_days
+  WINDOW w7 AS (PARTITION BY engine ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
+         w30 AS (PARTITION BY engine ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)
+)
+"""
+
+
+def _rolling_columns() -> str:
+    out = []
+    for n in (7, 30):
+        out.append(
+            f"CAST(calls_{n} AS BIGINT) AS calls_{n}, CAST(tokens_{n} AS BIGINT) AS tokens_{n}, CAST(cost_{n} AS DOUBLE) AS cost_usd_{n}, "
+            f"round(CAST(tokens_{n} AS DOUBLE) / {n}.0, 4) AS avg_tokens_{n}, round(CAST(cost_{n} AS DOUBLE) / {n}.0, 9) AS avg_cost_usd_{n}, "
+            f"round(CASE WHEN calls_{n} > 0 THEN CAST(tokens_{n} AS DOUBLE) / CAST(calls_{n} AS DOUBLE) END, 4) AS per_call_tokens_{n}"
+        )
+    return ", ".join(out)
+
+
+ORACLE: dict[str, str] = {
+    "p3_found": _DAYS + "SELECT engine, strftime(day, '%Y-%m-%d') AS usage_day FROM w WHERE day >= a + 29 AND tokens_30 > 0 AND tokens_7 * 2 > tokens_30",
+    "p3_rolling": _DAYS + f"SELECT engine, strftime(day, '%Y-%m-%d') AS usage_day, {_rolling_columns()} FROM w",
+}
