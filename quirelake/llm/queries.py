@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.llm import canonical, leakage, lookalike
+from quirelake.llm import canonical, leakage, lookalike, mixing, residue
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,11 @@ QUERIES: dict[str, Query] = {
     "p7_found": leakage.p7_found,
     "p7_leaks": leakage.p7_leaks,
     "p7_items": leakage.p7_items,
+    "p8_mix": mixing.p8_mix,
+    "p8_shares": mixing.p8_shares,
+    "p9_found": residue.p9_found,
+    "p9_report": residue.p9_report,
+    "p9_clean": residue.p9_clean,
 }
 
 ORACLE: dict[str, str] = {}
