@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.llm import canonical, leakage, lookalike, mixing, residue
+from quirelake.llm import canonical, leakage, lookalike, mixing, residue, scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "p2_found": canonical.p2_found,
     "p2_values": canonical.p2_values,
+    "p4_found": scans.p4_found,
+    "p4_paragraphs": scans.p4_paragraphs,
     "p6_found": lookalike.p6_found,
     "p6_forms": lookalike.p6_forms,
     "p7_found": leakage.p7_found,
