@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quirelake.catalog import problems, tables, texts
+from quirelake.catalog import documents, ledgers, problems, tables, texts
 
-MODULES = (problems, texts, tables)
+MODULES = (problems, texts, tables, documents, ledgers)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLE = {k: q for m in MODULES for k, q in m.ORACLE.items()}
