@@ -77,26 +77,26 @@ def log_tail(s, d):
     return _events(s, d).select("id", "job_id", "status").orderBy(F.desc("id")).limit(100)
 
 
-_LOG = "SELECT 'k' || (value_key) AS key, CAST(epoch_us(ts) / 1000000.0 AS DOUBLE) AS at, event_id AS seq, CASE WHEN event_type = 'purchase' OR event_type = 'signup' THEN 'put' ELSE 'get' END AS op FROM (SELECT *, user_id % 1000 AS value_key FROM events)"
+_LOG = "SELECT 'k' || (value_key) AS key, CAST(epoch_us(ts) / 1000000.0 AS DOUBLE) AS secs, event_id AS seq, CASE WHEN event_type = 'purchase' OR event_type = 'signup' THEN 'put' ELSE 'get' END AS op FROM (SELECT *, user_id % 1000 AS value_key FROM events)"
 
 
 def _log(s, d) -> DataFrame:
     return table(s, d, "events").select(F.concat(F.lit("k"), F.pmod("user_id", F.lit(1000)).cast("string")).alias("key"), (epoch_micros(F.col("ts")) / 1e6).alias("at"), F.col("event_id").alias("seq"), F.when(F.col("event_type").isin("purchase", "signup"), "put").otherwise("get").alias("op"))
 
 
-@query("ttl_cache", f"""WITH l AS ({_LOG}), p AS (SELECT *, last_value(CASE WHEN op = 'put' THEN at END IGNORE NULLS) OVER (PARTITION BY key ORDER BY at, seq) AS put_at FROM l)
-  SELECT seq, key, op, op = 'get' AND coalesce(at - put_at <= 86400, false) AS hit FROM p""")
+@query("ttl_cache", f"""WITH l AS ({_LOG}), p AS (SELECT *, last_value(CASE WHEN op = 'put' THEN secs END IGNORE NULLS) OVER (PARTITION BY key ORDER BY secs, seq) AS put_at FROM l)
+  SELECT seq, key, op, op = 'get' AND coalesce(secs - put_at <= 86400, false) AS hit FROM p""")
 def ttl_cache(s, d):
     return cache.replay(_log(s, d), 86_400.0).select("seq", "key", "op", "hit")
 
 
-@query("cache_stats", f"""WITH l AS ({_LOG}), p AS (SELECT *, last_value(CASE WHEN op = 'put' THEN at END IGNORE NULLS) OVER (PARTITION BY key ORDER BY at, seq) AS put_at FROM l), h AS (SELECT *, op = 'get' AND coalesce(at - put_at <= 86400, false) AS hit FROM p)
+@query("cache_stats", f"""WITH l AS ({_LOG}), p AS (SELECT *, last_value(CASE WHEN op = 'put' THEN secs END IGNORE NULLS) OVER (PARTITION BY key ORDER BY secs, seq) AS put_at FROM l), h AS (SELECT *, op = 'get' AND coalesce(secs - put_at <= 86400, false) AS hit FROM p)
   SELECT count_if(hit) AS hits, count_if(op = 'get') - count_if(hit) AS misses, round(count_if(hit) * 100.0 / count_if(op = 'get'), 1) AS hit_rate_pct, count(DISTINCT CASE WHEN op = 'put' THEN key END) AS size FROM h""")
 def cache_stats(s, d):
     return cache.stats(cache.replay(_log(s, d), 86_400.0))
 
 
-@query("cache_latest", f"WITH l AS ({_LOG}) SELECT key, max(at) AS created, arg_max(CAST(seq AS VARCHAR), (at, CAST(seq AS VARCHAR))) AS value FROM l WHERE op = 'put' GROUP BY key")
+@query("cache_latest", f"WITH l AS ({_LOG}) SELECT key, max(secs) AS created, arg_max(CAST(seq AS VARCHAR), (secs, CAST(seq AS VARCHAR))) AS value FROM l WHERE op = 'put' GROUP BY key")
 def cache_latest(s, d):
     puts = _log(s, d).filter("op = 'put'").select("key", F.col("seq").cast("string").alias("value"), F.col("at").alias("created"))
     return cache.latest(puts)
