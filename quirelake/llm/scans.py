@@ -98,10 +98,13 @@ def running_keys(lines: DataFrame) -> DataFrame:
     by_doc = lines.filter("kind = 'text'").groupBy("key", "doc_id").agg(F.count_if(on_page).alias("n"), F.count_if(on_page & (F.col("edge") != 0)).alias("e"), F.count(F.lit(1)).alias("all"))
     by_key = by_doc.groupBy("key").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.max(F.when(F.col("e") > 0, F.col("all"))).alias("most"))
     prose = F.col("key").rlike(r"[.!?]$") & ~F.col("key").rlike(r"(?i)\b(Ltd|Inc|Co|Corp)\.$")
-    often = by_key.filter((F.col("e") >= 0.9 * F.col("n")) & (F.col("n") > 0) & (((F.col("most") >= 2) & ~prose) | (F.col("n") >= 5)) & F.col("key").rlike(r"\p{L}{2}")).select("key")
+    at_edge = by_key.filter((F.col("n") > 0) & (F.col("e") >= 0.9 * F.col("n")))
+    often = at_edge.filter((((F.col("most") >= 2) & ~prose) | (F.col("n") >= 5)) & F.col("key").rlike(r"\p{L}{2}")).select("key")
     edges = lines.filter("place = 'page' and kind = 'text' and edge <> 0 and length(key) >= 8").filter(~prose).select("doc_id", "ord_no", "edge", "key")
     later = edges.select("doc_id", (F.col("ord_no") - 1).alias("ord_no"), "edge", F.col("key").alias("next_key"))
     alike = edges.join(later, ["doc_id", "ord_no", "edge"]).filter(F.levenshtein("key", "next_key", 2) >= 0)
+    # both lines of such a pair must be edge lines wherever they occur
+    alike = alike.join(at_edge.select("key"), "key", "left_semi").join(at_edge.select(F.col("key").alias("next_key")), "next_key", "left_semi")
     return often.unionByName(alike.select(F.explode(F.array("key", "next_key")).alias("key"))).distinct()
 
 
