@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import keywords as K
 from quirelake.functions import tables as T
+from quirelake.functions.bind import let
 from quirelake.functions.text import compact_header, strip
 from quirelake.operators.bom import TABLE, grids
 
@@ -37,6 +38,10 @@ def is_source_info(text: Column) -> Column:
 def contract(type_: Column, key: Column, text: Column, preset: str | None = None) -> Column:
     """struct(domain, role) by the first rule that holds: BOM, productivity standard,
     estimate by preset, trade statement, estimate by headers, else generic."""
+    return let(F.struct(type_.alias("type"), key.alias("key"), text.alias("text")), lambda t: _contract(t["type"], t["key"], t["text"], preset))
+
+
+def _contract(type_: Column, key: Column, text: Column, preset: str | None) -> Column:
     pair = lambda d, r: F.struct(F.lit(d).alias("domain"), F.lit(r).alias("role"))
     out = F.when(type_ == "BOM_LINE_LIST", pair("bom", "line_list_table")).when((type_ == "BOM_자재") | is_bom_material(key), pair("bom", "primary_material_table"))
     for t, role in (("A_품셈", "pumsem_quantity_table"), ("B_규모기준", "pumsem_size_table"), ("C_구분설명", "pumsem_description_table")):

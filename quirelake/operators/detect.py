@@ -6,13 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quirelake.functions import keywords as K
+from quirelake.functions.bind import let
 from quirelake.functions.tables import count_hits, hits
 from quirelake.functions.text import plain_text
 
 
 def material_quote(text: Column) -> Column:
     """At least five words of a quotation for material, or the columns of one."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[ \n]", "")
+    return let(F.regexp_replace(F.coalesce(text, F.lit("")), "[ \n]", ""), _material_quote)
+
+
+def _material_quote(t: Column) -> Column:
     header = [F.forall(F.array(*[F.lit(w) for w in ws]), lambda w: t.contains(w)) for ws in K.MATERIAL_QUOTE_HEADER]
     return (count_hits(t, K.MATERIAL_QUOTE) >= K.MATERIAL_QUOTE_HITS) | header[0] | header[1]
 
@@ -25,16 +29,17 @@ def detection(text: Column, words: dict[str, tuple[str, ...]] | None = None) ->
     six estimate words.
     """
     w = words or {"estimate": K.ESTIMATE, "pumsem": K.PUMSEM, "bom": K.BOM}
-    t = F.coalesce(text, F.lit(""))
-    up = F.upper(t)
-    quote = material_quote(t)
-    e = F.when(quote, F.greatest(count_hits(t, w["estimate"]), F.lit(6))).otherwise(count_hits(t, w["estimate"]))
-    s = F.struct(e.alias("e"), count_hits(t, w["pumsem"]).alias("p"), count_hits(up, w["bom"]).alias("b"), count_hits(up, K.BOM_STRUCTURE).alias("st"), quote.alias("q"))
-    return F.transform(F.array(s), _decide)[0]
+
+    def counts(v: Column) -> Column:
+        t, up = v["t"], v["u"]
+        return F.struct(count_hits(t, w["estimate"]).alias("e"), count_hits(t, w["pumsem"]).alias("p"), count_hits(up, w["bom"]).alias("b"), count_hits(up, K.BOM_STRUCTURE).alias("st"), material_quote(t).alias("q"))
+
+    t = let(F.coalesce(text, F.lit("")), lambda x: F.struct(x.alias("t"), F.upper(x).alias("u")))
+    return let(let(t, counts), _decide)
 
 
 def _decide(s: Column) -> Column:
-    e, p, b = s["e"], s["p"], s["b"]
+    e, p, b = F.when(s["q"], F.greatest(s["e"], F.lit(6))).otherwise(s["e"]), s["p"], s["b"]
     best = F.when((e >= p) & (e >= b), "estimate").when(p >= b, "pumsem").otherwise("bom")
     top = F.greatest(e, p, b)
     second = F.when(best == "estimate", F.greatest(p, b)).when(best == "pumsem", F.greatest(e, b)).otherwise(F.greatest(e, p))
@@ -77,19 +82,26 @@ def pipe_blocks(text: Column) -> Column:
 
 def extraction_metrics(text: Column, expected_pages: Column | None = None) -> Column:
     """struct(visible_chars, pages, html_tables, pipe_tables, score, weak_reason)."""
-    t = F.coalesce(text, F.lit(""))
-    plain = plain_text(t)
-    visible = F.length(F.regexp_replace(plain, r"(?U)\s+", ""))
-    pages = F.greatest(F.coalesce(expected_pages if expected_pages is not None else F.lit(None).cast("int"), F.nullif(F.regexp_count(t, F.lit(r"(?i)<!--\s*PAGE\b")), F.lit(0)), F.lit(1)), F.lit(1))
-    html = F.regexp_count(F.lower(t), F.lit("<table"))
-    pipes = pipe_blocks(t)
-    label = detection(plain)["label"]
-    bare = (html == 0) & (pipes == 0)
+    pages = expected_pages if expected_pages is not None else F.lit(None).cast("int")
+
+    def read(t: Column) -> Column:
+        n = F.greatest(F.coalesce(pages, F.nullif(F.regexp_count(t, F.lit(r"(?i)<!--\s*PAGE\b")), F.lit(0)), F.lit(1)), F.lit(1))
+        return F.struct(plain_text(t).alias("plain"), n.alias("pages"), F.regexp_count(F.lower(t), F.lit("<table")).alias("html"), pipe_blocks(t).alias("pipes"))
+
+    def judge(p: Column) -> Column:
+        return F.struct(F.length(F.regexp_replace(p["plain"], r"(?U)\s+", "")).alias("visible"), detection(p["plain"])["label"].alias("label"), material_quote(p["plain"]).alias("quote"), p["pages"].alias("pages"), p["html"].alias("html"), p["pipes"].alias("pipes"))
+
+    return let(let(let(F.coalesce(text, F.lit("")), read), judge), _metrics)
+
+
+def _metrics(m: Column) -> Column:
+    visible, bare = m["visible"], (m["html"] == 0) & (m["pipes"] == 0)
     weak = F.concat_ws(
         ", ",
         F.when(visible < K.MIN_VISIBLE_CHARS, F.lit(f"visible_chars<{K.MIN_VISIBLE_CHARS}")),
-        F.when(visible / pages < K.MIN_VISIBLE_PER_PAGE, F.lit(f"visible_chars_per_page<{K.MIN_VISIBLE_PER_PAGE}")),
-        F.when(material_quote(plain) & bare, F.lit("material_quote_without_table_signal")),
-        F.when(label.isin("estimate", "pumsem") & (visible < K.MIN_STRUCTURED_CHARS) & bare, F.concat(label, F.lit("_document_without_structure"))),
+        F.when(visible / m["pages"] < K.MIN_VISIBLE_PER_PAGE, F.lit(f"visible_chars_per_page<{K.MIN_VISIBLE_PER_PAGE}")),
+        F.when(m["quote"] & bare, F.lit("material_quote_without_table_signal")),
+        F.when(m["label"].isin("estimate", "pumsem") & (visible < K.MIN_STRUCTURED_CHARS) & bare, F.concat(m["label"], F.lit("_document_without_structure"))),
     )
-    return F.struct(visible.alias("visible_chars"), pages.alias("pages"), html.alias("html_tables"), pipes.alias("pipe_tables"), (visible + K.TABLE_SCORE * html + K.BLOCK_SCORE * pipes).alias("score"), weak.alias("weak_reason"))
+    score = visible + K.TABLE_SCORE * m["html"] + K.BLOCK_SCORE * m["pipes"]
+    return F.struct(visible.alias("visible_chars"), m["pages"].alias("pages"), m["html"].alias("html_tables"), m["pipes"].alias("pipe_tables"), score.alias("score"), weak.alias("weak_reason"))
