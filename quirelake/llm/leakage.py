@@ -131,9 +131,17 @@ class ItemIndex:
         items, where = np.tile(item, 2), np.tile(doc_pos, 2)
         order = np.lexsort((where, keys, items))
         items, keys, where = items[order], keys[order], where[order]
-        new = np.flatnonzero(np.append(True, (items[1:] != items[:-1]) | (keys[1:] != keys[:-1])))
+        start_of = np.append(True, (items[1:] != items[:-1]) | (keys[1:] != keys[:-1]))
+        new, band = np.flatnonzero(start_of), np.cumsum(start_of) - 1
         size = np.diff(np.append(new, len(items)))
-        keep = size >= self.bound[items[new]]
+        # an edit takes away at most q neighbouring q-grams, so `bound` hits of a passage lie close
+        need = self.bound[items]
+        at = np.arange(len(items)) + need - 1
+        ok = at < len(items)
+        at[~ok] = 0
+        ok &= (band[at] == band) & (where[at] - where <= need - 1 + (Q + 1) * self.edits)
+        keep = np.zeros(len(new), dtype=bool)
+        keep[band[ok]] = True
         last = new + size - 1
         return [(int(items[a]), int(keys[a]) * width, int(where[a]), int(where[b]) + Q) for a, b in zip(new[keep], last[keep])]
 
