@@ -131,7 +131,7 @@ def content_lines(lines: DataFrame, running: DataFrame) -> DataFrame:
     body = body.withColumn("toks", F.split(F.regexp_replace("line", r"(?U)^\s+|\s+$", ""), r"(?U)\s+"))
     broken = F.col("line").rlike(rf"\p{{L}}[{MARKS}]\s*$") & ~F.element_at("toks", -1).rlike(r"^\P{L}*$")
     w = Window.partitionBy(*PAGE).orderBy("line_no")
-    body = body.select(*PAGE, "line_no", "line", "toks", broken.alias("hyph"))
+    body = body.select(*PAGE, "line_no", "toks", broken.alias("hyph"))
     body = body.withColumns({"nxt": F.lead(F.col("toks")[0]).over(w), "cont": F.coalesce(F.lag("hyph").over(w), F.lit(False)), "first": F.row_number().over(w) == 1})
     body = cut(body)
     # across pages: the last line of a page meets the first one of the next
@@ -142,7 +142,7 @@ def content_lines(lines: DataFrame, running: DataFrame) -> DataFrame:
     out = body.join(over, [*PAGE, "line_no"], "left").join(back, [*PAGE, "first"], "left")
     out = out.withColumns({"tail": F.when(F.col("hyph"), F.coalesce("nxt", "over")), "cont": F.col("cont") | F.coalesce("carried", F.lit(False))})
     head = F.regexp_replace(F.element_at("toks", -1), rf"[{MARKS}]+$", "")
-    return out.select(*PAGE, "line_no", "line", "toks", "hyph", "cont", "tail", F.when(F.col("hyph"), head).alias("head"))
+    return out.select(*PAGE, "line_no", "toks", "hyph", "cont", "tail", F.when(F.col("hyph"), head).alias("head"))
 
 
 def whole_tokens(content: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ class Repairs:
         clean = cut(running_keys(self.lines))
         self.running = cut(clean.unionByName(misread_furniture(self.lines, clean)).distinct())
         content = cut(content_lines(self.lines, self.running))
-        tokens = cut(whole_tokens(content))
+        tokens = whole_tokens(content)  # three narrow passes over the lines cost less than a stored row a token
         counts = cut(tokens.filter(may_be_misread(F.col("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
         vocabulary = counts.filter((F.col("n") >= KNOWN) & ~F.col("word").rlike(r"\d"))
         breaks = content.filter("hyph and tail is not null").select(*PAGE, "line_no", _strip(F.concat("head", "tail")).alias("joined"), _strip(F.concat(F.col("head"), F.lit("-"), F.col("tail"))).alias("dashed"))
