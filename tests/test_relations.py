@@ -170,3 +170,22 @@ def test_broadcast_is_bounded(spark, n):
     small = spark.range(2)
     hinted = "broadcast" in broadcast_if_small(small, n)._jdf.queryExecution().logical().toString().lower()
     assert hinted == (n >= 2)
+
+
+def test_let_and_times(spark):
+    from quirelake.functions.bind import let
+    from quirelake.functions.times import epoch_micros
+
+    assert spark.range(1).select(let(F.lit(2), lambda x: x + x * x).alias("o")).first().o == 6
+    r = spark.sql("select timestamp_ntz '1970-01-02 00:00:01' as t").select(epoch_micros(F.col("t")).alias("o"))
+    assert r.first().o == 86_401_000_000
+
+
+def test_segments_and_gaps(spark):
+    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(["a", "# T", "b", "# U"], 1)], "doc_id int, line_no int, line string")
+    got = positions.segments(lines, F.col("line").startswith("#"), ["doc_id"], "line_no")
+    assert sorted((r.seg_no, r.title, r["first"], r["last"], r.n) for r in got.collect()) == [(0, None, 1, 1, 1), (1, "# T", 2, 3, 2), (2, "# U", 4, 4, 1)]
+    g = positions.gap_groups(spark.createDataFrame([(1, 0), (1, 5), (1, 20)], "u int, t int"), ["u"], "t", F.lit(10), [])
+    assert [r.grp for r in g.orderBy("t").collect()] == [1, 1, 2]
+    c = positions.carried(spark.createDataFrame([(1, 1, "x"), (1, 2, " "), (1, 3, None)], "d int, o int, c string"), ["d"], ["o"], "c", "k")
+    assert [r.k for r in c.orderBy("o").collect()] == ["x", "x", "x"]
