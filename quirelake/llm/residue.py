@@ -2,11 +2,11 @@
 
 A document is cut into segments (lines and sentences), each brought to a key in
 which numbers and unfilled placeholders are masked. Segments that the trusted
-rules or exemplars name are the seeds. Distinct segments are put into seven
-SimHash tables (one a block of the 64-bit fingerprint, so that a Hamming
-distance of at most 6 shares a block); candidates are verified by Hamming
-distance and by trigram similarity, and the labels spread from the seeds along
-verified links until a round adds nothing. That is connected components,
+rules or exemplars name are the seeds. Distinct segments are looked up by the
+rarest of their trigrams: as many as two segments of the declared similarity
+cannot all differ in, so every such pair meets. Candidates are verified by
+SimHash distance and by trigram similarity, and the labels spread from the seeds
+along verified links until a round adds nothing. That is connected components,
 restricted to those that hold a trusted label: links among ordinary sentences
 are never made. A document with a labelled segment is residue.
 """
@@ -21,16 +21,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType
 from xxhash import xxh64_intdigest
 
 from quirelake.plans.lineage import cut
 from quirelake.plans.sizes import broadcast_if_small
 from quirelake.sources.tables import table
 
-HAMMING = 6
+#: Links of similarity 0.8 lie at a distance of about 10 (standard deviation 3), unrelated segments at 32.
+HAMMING = 24
 SIMILARITY = 0.8
-BLOCKS = ((0, 9), (9, 9), (18, 9), (27, 9), (36, 9), (45, 9), (54, 10))
+#: Keys and characters of each that the order of the trigrams is estimated from.
+ORDER_KEYS, ORDER_CHARS = 20_000, 500
 MASK = "⟦⟧"
 
 _NAME = r"[^\W\d_][\w .\-/]{0,40}?"
@@ -163,11 +165,11 @@ def trigrams(key: str) -> set[str]:
     return {s[i : i + 3] for i in range(len(s) - 2)}
 
 
-def simhashes(keys: list[str]) -> np.ndarray:
-    """64-bit SimHash of each key's character trigrams, signed.
+def _gram_hashes(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all trigrams of all keys, and how many each key has.
 
-    All trigrams of a batch are hashed at once (three code points mixed into 64
-    bits) and their bits summed a key.
+    Three code points are mixed one to one into 64 bits: different trigrams never
+    have equal hashes.
     """
     texts = [f"  {k} " for k in keys]
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
@@ -178,16 +180,50 @@ def simhashes(keys: list[str]) -> np.ndarray:
     h = (codes[at] << np.uint64(42)) ^ (codes[at + 1] << np.uint64(21)) ^ codes[at + 2]
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    h ^= h >> np.uint64(31)
+    return h ^ (h >> np.uint64(31)), grams
+
+
+def _simhash_of(h: np.ndarray, grams: np.ndarray) -> np.ndarray:
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = np.add.reduceat(bits, np.cumsum(grams) - grams, axis=0, dtype=np.int32)
     return np.packbits(ones * 2 > grams[:, None], axis=1, bitorder="little").view(np.int64).ravel()
 
 
+def simhashes(keys: list[str]) -> np.ndarray:
+    """64-bit SimHash of each key's character trigrams, signed, a batch at once."""
+    return _simhash_of(*_gram_hashes(keys))
+
+
 def simhash(key: str) -> int:
     return int(simhashes([key])[0])
 
 
+def _rarest_of(h: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of each key the number of distinct trigrams, and the first of them in order of `counts`.
+
+    Of g distinct trigrams the first g - ceil(SIMILARITY * g) + 1 are given. Two
+    keys of at least that similarity share one of them under any common order;
+    rare ones first keeps chance meetings few.
+    """
+    owner = np.repeat(np.arange(len(grams)), grams)
+    order = np.lexsort((h, counts[(h & np.uint64(0xFFFF)).astype(np.int64)], owner))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    h, owner = h[new], owner[new]
+    g = np.bincount(owner, minlength=len(grams))
+    take = g - np.ceil(SIMILARITY * g - 1e-9).astype(np.int64) + 1
+    kept = np.arange(len(h)) - np.repeat(np.cumsum(g) - g, g) < take[owner]
+    return g, np.split((h[kept] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.cumsum(take)[:-1])
+
+
+def gram_counts(keys: list[str]) -> np.ndarray:
+    """How often each of 65,536 classes of trigrams occurs in `keys`."""
+    if not keys:
+        return np.zeros(1 << 16, np.int64)
+    return np.bincount((_gram_hashes(keys)[0] & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
+
+
 def _segment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     exact = {segment_key(s): kind for kind, s in EXEMPLARS}
     for pdf in batches:
@@ -203,11 +239,23 @@ def _segment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["doc_id", "seg", "key", "label"])
 
 
-@F.pandas_udf(StructType([StructField("fp", LongType()), StructField("grams", IntegerType())]))
-def _fingerprint(keys: pd.Series) -> pd.DataFrame:
-    k = keys.tolist()
-    fp = np.concatenate([simhashes(k[i : i + 500]) for i in range(0, len(k), 500)]) if k else np.zeros(0, np.int64)
-    return pd.DataFrame({"fp": fp, "grams": [len(trigrams(x)) for x in k]})
+def fingerprints(segs: DataFrame) -> DataFrame:
+    """`segs` (seg, key, label) with fp, grams and rare: SimHash, distinct trigrams, the rarest of them.
+
+    The order of the trigrams is estimated from some of the keys; it must be one
+    for all rows but may be any, links do not hang on it.
+    """
+    counts = gram_counts([r.k for r in segs.select(F.substring("key", 1, ORDER_CHARS).alias("k")).limit(ORDER_KEYS).collect()])
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), 500):
+                part = pdf.iloc[i : i + 500]
+                h, n = _gram_hashes(part["key"].tolist())
+                g, rare = _rarest_of(h, n, counts)
+                yield part.assign(fp=_simhash_of(h, n), grams=g.astype(np.int32), rare=rare)
+
+    return segs.select("seg", "key", "label").mapInPandas(rows, "seg bigint, key string, label string, fp bigint, grams int, rare array<int>")
 
 
 @F.pandas_udf(DoubleType())
@@ -219,39 +267,35 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def _blocks(df: DataFrame) -> DataFrame:
-    at = F.array(*[F.struct(F.lit(i).alias("t"), F.shiftrightunsigned("fp", lo).bitwiseAND((1 << n) - 1).alias("v")) for i, (lo, n) in enumerate(BLOCKS)])
-    return df.withColumn("_b", F.explode(at)).select("*", "_b.t", "_b.v").drop("_b")
-
-
 def propagate(segs: DataFrame, rounds: int = 6) -> DataFrame:
-    """(seg, label): `segs` (seg, key, fp, grams, label) with labels spread over near-duplicates.
+    """(seg, label): `segs` (seg, key, fp, grams, rare, label) with labels spread over near-duplicates.
 
-    A link needs a Hamming distance of at most HAMMING, a trigram similarity of at
-    least SIMILARITY, and the same number of masked placeholders. Of two labels
+    A link needs a trigram similarity of at least SIMILARITY, a Hamming distance of
+    at most HAMMING, and the same number of masked placeholders. Of two labels
     that reach a segment in one round the alphabetically first stands.
 
-    Tables hold fingerprints only. Besides a block, linked segments share the
+    Candidates share a trigram of `rare`. Besides it, linked segments share the
     number of masks and neighbour in size class (a similarity of 0.8 bounds the
     ratio of the trigram counts), so both stand in the join key and lose no link.
     """
     known = cut(segs.filter("label is not null").select("seg", "label"))
     marks = (F.length("key") - F.length(F.replace(F.col("key"), F.lit(MASK), F.lit("")))).alias("m")
     size = F.floor(F.log(F.col("grams").cast("double")) / F.log(F.lit(1 / SIMILARITY))).cast("int")
-    slim = segs.select("seg", "fp", marks, size.alias("z"), "label")
-    tables = cut(_blocks(slim.filter("label is null").drop("label")))
+    slim = segs.select("seg", "fp", marks, size.alias("z"), "rare", "label")
+    tables = cut(slim.filter("label is null").drop("label"))
     frontier = cut(slim.filter("label is not null"))
     text = segs.select("seg", "key")
     for _ in range(rounds):
-        asked = _blocks(frontier).select("t", "v", "m", F.explode(F.array(F.col("z") - 1, F.col("z"), F.col("z") + 1)).alias("z"), F.col("seg").alias("a"), F.col("fp").alias("fa"), "label")
-        near = tables.join(asked, ["t", "v", "m", "z"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("fa"))) <= HAMMING)
-        near = cut(near.groupBy("seg", "fp", "m", "z", "a").agg(F.min("label").alias("label")))
+        asked = frontier.select("m", "z", F.explode("rare").alias("g"), F.col("seg").alias("a"), F.col("fp").alias("fa"), "label").withColumn("z", F.explode(F.array(F.col("z") - 1, F.col("z"), F.col("z") + 1)))
+        near = tables.select("seg", "fp", "m", "z", F.explode("rare").alias("g")).join(broadcast_if_small(asked), ["g", "m", "z"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("fa"))) <= HAMMING)
+        near = cut(near.groupBy("seg", "a").agg(F.min("label").alias("label")))
         pairs = text.join(broadcast_if_small(near), "seg").join(text.select(F.col("seg").alias("a"), F.col("key").alias("ka")).join(broadcast_if_small(near.select("a").distinct()), "a", "left_semi"), "a")
-        near = pairs.filter(_similarity("key", "ka") >= SIMILARITY).groupBy("seg", "fp", "m", "z").agg(F.min("label").alias("label"))
-        frontier = cut(near.join(known.select("seg"), "seg", "left_anti"))
-        if frontier.limit(1).count() == 0:
+        near = pairs.filter(_similarity("key", "ka") >= SIMILARITY).groupBy("seg").agg(F.min("label").alias("label"))
+        added = cut(near.join(known.select("seg"), "seg", "left_anti"))
+        if added.limit(1).count() == 0:
             break
-        known = cut(known.unionByName(frontier.select("seg", "label")))
+        known = cut(known.unionByName(added))
+        frontier = cut(tables.join(broadcast_if_small(added), "seg"))
     return known
 
 
@@ -266,7 +310,7 @@ def residue_segments(docs: DataFrame) -> DataFrame:
     seeds = spark.createDataFrame([(xxh64_intdigest(segment_key(s).encode()) - (1 << 63), segment_key(s), kind) for kind, s in EXEMPLARS], "seg bigint, key string, label string")
     # a key whose rows differ in label is a notation that some rows talk about: only the labelled rows count
     distinct = rows.select("seg", "key", "label").unionByName(seeds).groupBy("seg").agg(F.first("key").alias("key"), F.min("label").alias("label"))
-    segs = cut(distinct.withColumn("p", _fingerprint("key")).select("seg", "key", "p.fp", "p.grams", "label"))
+    segs = cut(fingerprints(cut(distinct)))
     spread = propagate(segs).join(segs.filter("label is not null").select("seg"), "seg", "left_anti")
     own = rows.filter("label is not null").select("doc_id", "label", "seg")
     return own.unionByName(rows.filter("label is null").select("doc_id", "seg").join(spread, "seg").select("doc_id", "label", "seg")).distinct()

@@ -201,6 +201,31 @@ def test_labels_spread_along_near_duplicates(spark):
     assert residue.residue_segments(d.limit(0)).collect() == []
 
 
+def test_links_equal_brute_force(spark):
+    rng = random.Random(9)
+    seeds = [residue.segment_key(s) for _, s in residue.EXEMPLARS]
+    near = ["the page you asked for could not be located, sir", "please sign in again", "an unexpected problem has stopped this request", "찾을 수 없습니다만"]
+    for s in seeds:
+        for _ in range(60):
+            x = list(s)
+            for _ in range(rng.randint(1, 4)):
+                i = rng.randrange(len(x))
+                x[i : i + rng.randint(0, 1)] = rng.choice(["", "q", "다", " x", "ab"])
+            near.append("".join(x).strip() or "x")
+    near = sorted(set(near) - set(seeds))
+    df = spark.createDataFrame([(i, k, "error" if k in seeds else None) for i, k in enumerate(seeds + near)], "seg bigint, key string, label string")
+    got = {r.seg for r in residue.propagate(residue.fingerprints(df), rounds=1).collect()}
+    grams = [residue.trigrams(k) for k in seeds]
+    alike = lambda a, b: len(a & b) / len(a | b) >= residue.SIMILARITY
+    want = {i for i, k in enumerate(seeds + near) if any(alike(residue.trigrams(k), g) for g in grams)}
+    assert len(want) > 300 and got <= want and len(got) >= 0.999 * len(want)
+
+
+def test_reworded_exemplar_is_found(spark):
+    d = spark.createDataFrame([(2, "The page you asked for could not be located, sir."), (3, "A plain sentence about the pump house and its valves.")], "doc_id bigint, text string")
+    assert {r.doc_id for r in residue.residue_segments(d).collect()} == {2}
+
+
 def test_simhash_distance_of_near_texts():
     a, b, c = (residue.simhash(x) for x in ("스크립트가 꺼져 있어 목록을 그리지 못했습니다", "스크립트가 꺼져 있어 목록을 그리지 못했습니다!", "단가는 부가세를 뺀 값이다"))
     gap = lambda x, y: bin((x ^ y) & (2**64 - 1)).count("1")
