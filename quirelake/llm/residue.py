@@ -13,6 +13,7 @@ are never made. A document with a labelled segment is residue.
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -267,12 +268,13 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def propagate(segs: DataFrame, rounds: int = 6) -> DataFrame:
+def propagate(segs: DataFrame, rounds: int | None = None) -> DataFrame:
     """(seg, label): `segs` (seg, key, fp, grams, rare, label) with labels spread over near-duplicates.
 
     A link needs a trigram similarity of at least SIMILARITY, a Hamming distance of
     at most HAMMING, and the same number of masked placeholders. Of two labels
-    that reach a segment in one round the alphabetically first stands.
+    that reach a segment in one round the alphabetically first stands. Rounds go on
+    until one adds nothing, or `rounds` are done if given.
 
     Candidates share a trigram of `rare`. Besides it, linked segments share the
     number of masks and neighbour in size class (a similarity of 0.8 bounds the
@@ -285,7 +287,7 @@ def propagate(segs: DataFrame, rounds: int = 6) -> DataFrame:
     tables = cut(slim.filter("label is null").drop("label"))
     frontier = cut(slim.filter("label is not null"))
     text = segs.select("seg", "key")
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         asked = frontier.select("m", "z", F.explode("rare").alias("g"), F.col("seg").alias("a"), F.col("fp").alias("fa"), "label").withColumn("z", F.explode(F.array(F.col("z") - 1, F.col("z"), F.col("z") + 1)))
         near = tables.select("seg", "fp", "m", "z", F.explode("rare").alias("g")).join(broadcast_if_small(asked), ["g", "m", "z"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("fa"))) <= HAMMING)
         near = cut(near.groupBy("seg", "a").agg(F.min("label").alias("label")))

@@ -226,6 +226,20 @@ def test_reworded_exemplar_is_found(spark):
     assert {r.doc_id for r in residue.residue_segments(d).collect()} == {2}
 
 
+def test_labels_reach_the_end_of_a_long_chain(spark):
+    a, b = "the page you asked for could not be located", "now three blue pumps hum beside our old river gate"
+    alike = lambda x, y: len(x & y) / len(x | y) >= residue.SIMILARITY
+    keys = [b[:i] + a[i:] for i in range(len(a) + 1)]
+    grams = [residue.trigrams(k) for k in keys]
+    hops, reached = 0, {0}
+    while more := {i for i in range(len(keys)) if i not in reached and any(alike(grams[i], grams[j]) for j in reached)}:
+        reached |= more
+        hops += 1
+    assert hops > 6 and len(reached) == len(keys)
+    df = spark.createDataFrame([(i, k, None if i else "error") for i, k in enumerate(keys)], "seg bigint, key string, label string")
+    assert {r.seg for r in residue.propagate(residue.fingerprints(df)).collect()} == reached
+
+
 def test_simhash_distance_of_near_texts():
     a, b, c = (residue.simhash(x) for x in ("스크립트가 꺼져 있어 목록을 그리지 못했습니다", "스크립트가 꺼져 있어 목록을 그리지 못했습니다!", "단가는 부가세를 뺀 값이다"))
     gap = lambda x, y: bin((x ^ y) & (2**64 - 1)).count("1")
