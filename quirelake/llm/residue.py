@@ -226,14 +226,13 @@ def gram_counts(keys: list[str]) -> np.ndarray:
 
 
 def _segment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    exact = {segment_key(s): kind for kind, s in EXEMPLARS}
     for pdf in batches:
         out = []
         for doc, text in zip(pdf["doc_id"], pdf["text"]):
             seen = set()
             for s in segments(text):
                 k = segment_key(s)
-                label = trusted_label(s) or exact.get(k)
+                label = trusted_label(s)
                 if k and (k, label) not in seen:
                     seen.add((k, label))
                     out.append((doc, xxh64_intdigest(k.encode("utf-8", "surrogatepass")) - (1 << 63), k, label))
@@ -301,11 +300,13 @@ def propagate(segs: DataFrame, rounds: int | None = None) -> DataFrame:
     return known
 
 
-def residue_segments(docs: DataFrame) -> DataFrame:
-    """(doc_id, label, seg) of every residue segment of every document.
+def residue_origins(docs: DataFrame) -> DataFrame:
+    """(doc_id, label, seg, origin) of every residue segment of every document.
 
-    Null or empty texts have no segment; rows without doc_id are left out;
-    repeated rows count once; an empty table gives no row.
+    origin `rule`: the segment itself matches a rule; `exemplar`: its key is that
+    of an exemplar; `link`: near-duplicates tie it to one of these. Null or empty
+    texts have no segment; rows without doc_id are left out; repeated rows count
+    once; an empty table gives no row.
     """
     rows = cut(docs.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(_segment_rows, f"doc_id {dict(docs.dtypes)['doc_id']}, seg bigint, key string, label string"))
     spark = docs.sparkSession
@@ -313,9 +314,16 @@ def residue_segments(docs: DataFrame) -> DataFrame:
     # a key whose rows differ in label is a notation that some rows talk about: only the labelled rows count
     distinct = rows.select("seg", "key", "label").unionByName(seeds).groupBy("seg").agg(F.first("key").alias("key"), F.min("label").alias("label"))
     segs = cut(fingerprints(cut(distinct)))
-    spread = propagate(segs).join(segs.filter("label is not null").select("seg"), "seg", "left_anti")
-    own = rows.filter("label is not null").select("doc_id", "label", "seg")
-    return own.unionByName(rows.filter("label is null").select("doc_id", "seg").join(spread, "seg").select("doc_id", "label", "seg")).distinct()
+    spread = propagate(segs).join(segs.filter("label is not null").select("seg"), "seg", "left_anti").withColumn("origin", F.lit("link"))
+    named = seeds.select("seg", "label").withColumn("origin", F.lit("exemplar"))
+    own = rows.filter("label is not null").select("doc_id", "label", "seg", F.lit("rule").alias("origin"))
+    rest = rows.filter("label is null").select("doc_id", "seg").join(spread.unionByName(named), "seg")
+    return own.unionByName(rest.select("doc_id", "label", "seg", "origin")).distinct()
+
+
+def residue_segments(docs: DataFrame) -> DataFrame:
+    """(doc_id, label, seg) of every residue segment of every document, see residue_origins."""
+    return residue_origins(docs).drop("origin").distinct()
 
 
 def p9_found(spark, sf_dir: str) -> DataFrame:

@@ -240,6 +240,11 @@ def test_labels_reach_the_end_of_a_long_chain(spark):
     assert {r.seg for r in residue.propagate(residue.fingerprints(df)).collect()} == reached
 
 
+def test_origin_of_residue(spark):
+    d = spark.createDataFrame([(1, "The page you asked for could not be located."), (2, "The page you asked for could not be located, sir."), (3, "<h1>Error 404</h1>"), (4, "Plain.")], "doc_id bigint, text string")
+    assert {(r.doc_id, r.origin) for r in residue.residue_origins(d).collect()} == {(1, "exemplar"), (2, "link"), (3, "rule")}
+
+
 def test_simhash_distance_of_near_texts():
     a, b, c = (residue.simhash(x) for x in ("스크립트가 꺼져 있어 목록을 그리지 못했습니다", "스크립트가 꺼져 있어 목록을 그리지 못했습니다!", "단가는 부가세를 뺀 값이다"))
     gap = lambda x, y: bin((x ^ y) & (2**64 - 1)).count("1")
