@@ -6,18 +6,22 @@ import json
 from typing import Any
 
 
-def parse_sections(payload: str | None) -> list[Any] | None:
-    """The list of sections of one payload, or None where it holds none.
-
-    A leading byte-order mark is ignored. Accepted envelopes: a list of
-    sections, an object with `sections`, or one section by itself.
-    """
+def parse_top(payload: str | None) -> Any:
+    """The JSON value of one payload, None where it is unreadable. A leading byte-order mark is ignored."""
     if payload is None:
         return None
     try:
-        top = json.loads(payload.lstrip("﻿ \t\r\n"))
+        return json.loads(payload.lstrip("﻿ \t\r\n"))
     except (ValueError, RecursionError):
         return None
+
+
+def sections_of(top: Any) -> list[Any] | None:
+    """The sections of a parsed payload, or None where it holds none.
+
+    Accepted envelopes: a list of sections, an object with `sections`, or one
+    section by itself.
+    """
     if isinstance(top, list):
         return top
     if isinstance(top, dict):
@@ -28,6 +32,11 @@ def parse_sections(payload: str | None) -> list[Any] | None:
     return None
 
 
+def parse_sections(payload: str | None) -> list[Any] | None:
+    """The list of sections of one payload, or None where it holds none, see sections_of."""
+    return sections_of(parse_top(payload))
+
+
 def section_tables(section: Any) -> list[Any]:
     tables = section.get("tables") if isinstance(section, dict) else None
     return tables if isinstance(tables, list) else []

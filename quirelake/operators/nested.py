@@ -5,14 +5,20 @@ equal identities wherever they occur. Objects are stored once; each occurrence
 is kept by a bridge row (parent, role, ordinal, child). A chain of bridge joins
 from a file's root brings back every occurrence with its ordinals.
 
-Roles: file -section-> section -table-> table -row-> row, table -warning-> warning,
-row -cell-> cell.
+Roles: file -section-> section -table-> table -row-> row -cell-> cell -value-> value,
+table -quality-> quality -warning-> warning, file -envelope-> object. Objects and
+lists elsewhere hang on their owner as `member` (in order of their keys, which the
+owner's body names) or `item`; sections, tables and rows of another type as `other`.
+A node's body holds its scalars, so nothing of a payload is left out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
+from itertools import zip_longest
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,30 +56,78 @@ class _Store:
             self.out += [("edge", None, c, h, role, i, None, None) for role, i, c in children]
         return h
 
+    def members(self, d: dict, skip: tuple[str, ...] = ()) -> tuple[list, list[tuple[str, int, bytes]]]:
+        """[scalars, keys of nested members] of an object, and the bridges to the nested members."""
+        inner = sorted(k for k, v in d.items() if k not in skip and isinstance(v, (dict, list)))
+        own = {k: v for k, v in d.items() if k not in skip and not isinstance(v, (dict, list))}
+        return [own, inner], [("member", i, self.value(d[k])) for i, k in enumerate(inner)]
+
+    def value(self, v: Any, kind: str | None = None, text: str | None = None) -> bytes:
+        """A node of any JSON value; `kind` is object, list or scalar if not given."""
+        if isinstance(v, dict):
+            own, kids = self.members(v)
+            return self.node(kind or "object", text, pl.canonical(["object", *own]), kids)
+        if isinstance(v, list):
+            kids = [("item", i, self.value(x)) for i, x in enumerate(v)]
+            return self.node(kind or "list", text, pl.canonical(["list"]), kids)
+        return self.node(kind or "scalar", text, pl.canonical(["scalar", v]), [])
+
+    def cell(self, h: str | None, v: Any) -> bytes:
+        if isinstance(v, (dict, list)):
+            return self.node("cell", pl.text_of(v), pl.canonical([h]), [("value", 0, self.value(v))])
+        return self.node("cell", pl.text_of(v), pl.canonical([h, v]), [])
+
+    def quality(self, q: Any) -> bytes:
+        codes = dict(pl.warning_entries({"quality": q}))
+        top = q
+        if isinstance(q, str):
+            try:
+                top = json.loads(q)
+            except ValueError:
+                pass
+        if not isinstance(top, dict):
+            return self.value(q, "quality")
+        own, kids = self.members(top, ("warnings",))
+        w = top.get("warnings")
+        each = w if isinstance(w, list) else [w] if "warnings" in top else []
+        kids += [("warning", i, self.value(x, "warning", codes.get(i))) for i, x in enumerate(each)]
+        form = "list" if isinstance(w, list) else "lone" if each else "none"
+        return self.node("quality", None, pl.canonical([q if isinstance(q, str) else None, form, *own]), kids)
+
     def table(self, t: dict) -> bytes:
         headers, rows = pl.table_grid(t)
         names = [pl.text_of(x) or "" for x in headers]
-        kids = []
+        array = not isinstance(t.get("headers"), list) and isinstance(t.get("array"), list) and bool(t["array"]) and isinstance(t["array"][0], list)
+        read = ("array",) if array else tuple(k for k in ("headers", "rows") if isinstance(t.get(k), list))
+        own, kids = self.members(t, (*read, "quality"))
         for i, r in enumerate(rows):
-            pairs = list(r.items()) if isinstance(r, dict) else list(zip(names, r)) if isinstance(r, list) else []
-            cells = [("cell", k, self.node("cell", pl.text_of(v), pl.canonical([h, v]), [])) for k, (h, v) in enumerate(pairs)]
+            if not isinstance(r, (dict, list)):
+                kids.append(("other", i, self.value(r)))
+                continue
+            pairs = list(r.items()) if isinstance(r, dict) else list(zip_longest(names[: len(r)], r))
+            cells = [("cell", k, self.cell(h, v)) for k, (h, v) in enumerate(pairs)]
             d = pl.cell(r, names, "DESCRIPTION")
             kids.append(("row", i, self.node("row", None if pl.is_empty(d) else pl.text_of(d), "", cells)))
-        kids += [("warning", i, self.node("warning", code, code, [])) for i, code in pl.warning_entries(t)]
-        own = {k: v for k, v in t.items() if k not in ("rows", "array", "quality")}
-        return self.node("table", pl.text_of(t.get("table_id")), pl.canonical([own, names]), kids)
+        if "quality" in t:
+            kids.append(("quality", 0, self.quality(t["quality"])))
+        return self.node("table", pl.text_of(t.get("table_id")), pl.canonical([*own, list(read), headers]), kids)
 
     def section(self, s: dict) -> bytes:
-        kids = [("table", i, self.table(t)) for i, t in enumerate(pl.section_tables(s)) if isinstance(t, dict)]
-        own = {k: v for k, v in s.items() if k != "tables"}
-        return self.node("section", pl.text_of(s.get("section_id")), pl.canonical(own), kids)
+        listed = isinstance(s.get("tables"), list)
+        own, kids = self.members(s, ("tables",) if listed else ())
+        kids += [("table", i, self.table(t)) if isinstance(t, dict) else ("other", i, self.value(t)) for i, t in enumerate(pl.section_tables(s))]
+        return self.node("section", pl.text_of(s.get("section_id")), pl.canonical([*own, listed]), kids)
 
     def file(self, file_id: int, payload: str | None) -> None:
-        secs = pl.parse_sections(payload)
+        top = pl.parse_top(payload)
+        secs = pl.sections_of(top)
         if secs is None:
             return
-        kids = [("section", i, self.section(s)) for i, s in enumerate(secs) if isinstance(s, dict)]
-        self.out.append(("root", file_id, self.node("file", None, "", kids), None, None, None, None, None))
+        kids = [("section", i, self.section(s)) if isinstance(s, dict) else ("other", i, self.value(s)) for i, s in enumerate(secs)]
+        form = "list" if isinstance(top, list) else "sections" if "sections" in top else "section"
+        if form == "sections":
+            kids.append(("envelope", 0, self.value({k: v for k, v in top.items() if k != "sections"})))
+        self.out.append(("root", file_id, self.node("file", None, form, kids), None, None, None, None, None))
 
 
 def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,7 +184,10 @@ def linked_children(files: DataFrame) -> DataFrame:
     store = shred(files)
     kids = store.bridges.filter("role in ('row', 'warning')").join(
         store.nodes.filter("kind in ('row', 'warning') and text is not null").select(F.col("hash").alias("child"), "text"), "child"
-    ).select(F.col("parent").alias("table_hash"), F.col("role").alias("child"), F.col("ord").alias("child_ord"), F.col("text").alias("child_value"))
+    ).select("parent", F.col("role").alias("child"), F.col("ord").alias("child_ord"), F.col("text").alias("child_value"))
+    held = store.bridges.filter("role = 'quality'").select(F.col("parent").alias("table_hash"), F.col("child").alias("parent"))
+    warned = kids.filter("child = 'warning'").join(held, "parent").select("table_hash", "child", "child_ord", "child_value")
+    kids = kids.filter("child = 'row'").select(F.col("parent").alias("table_hash"), "child", "child_ord", "child_value").unionByName(warned)
     return table_occurrences(store).join(kids, "table_hash").select("file_id", "section_ord", "table_ord", "child", "child_ord", "child_value")
 
 

@@ -136,6 +136,22 @@ def test_nested_children_and_identities(spark):
     assert nested.linked_children(files(spark, [])).collect() == []
 
 
+def test_nested_store_keeps_whole_objects(spark):
+    def payload(status="ok", row=1, unit="m", meta="a"):
+        t = {"table_id": "T", "headers": ["N"], "rows": [[{"value": 1, "unit": unit}, "beyond"]], "quality": {"status": status, "warnings": [{"code": "w", "row": row}, {"row": 9}]}}
+        return {"metadata": {"by": meta}, "sections": [{"section_id": "S", "tables": [t, 5]}]}
+
+    plain, other = payload(), [payload(status="bad"), payload(row=2), payload(unit="kg"), payload(meta="b")]
+    rows = [(i, "s", "d", p) for i, p in enumerate([plain, plain, *other])]
+    store = nested.shred(files(spark, rows))
+    roots = {r.file_id: bytes(r.hash) for r in store.roots.collect()}
+    assert roots[0] == roots[1] and len(set(roots.values())) == 5
+    n = {r.kind: r.objects for r in nested.identity_report(files(spark, rows)).collect()}
+    assert n["warning"] == 3 and n["quality"] == 3 and n["table"] == 4 and n["file"] == 5
+    bodies = " ".join(r.body for r in store.nodes.collect())
+    assert all(x in bodies for x in ('"status":"bad"', '"row":2', '"row":9', '"unit":"kg"', '"by":"b"', "beyond"))
+
+
 def test_payload_parsing():
     assert pl.parse_sections("\ufeff[]") == [] and pl.parse_sections("3") is None and pl.parse_sections('{"a": 1}') is None
     assert pl.kind_of(True) == "text" and pl.kind_of(1.5) == "number" and pl.kind_of({}) == "object"
