@@ -30,6 +30,8 @@ from quirelake.plans.lineage import cut
 RECORD = "what string, file_id bigint, hash binary, parent binary, role string, ord int, text string, body string"
 #: Identities remembered a task to leave out records that the task has already given.
 SEEN = 200_000
+#: Levels below an owner that are stored as nodes of their own; what lies deeper is one text in its node.
+DEEPEST = 100
 
 
 def digest(kind: str, own: str, children: list[tuple[str, int, bytes]]) -> bytes:
@@ -56,19 +58,21 @@ class _Store:
             self.out += [("edge", None, c, h, role, i, None, None) for role, i, c in children]
         return h
 
-    def members(self, d: dict, skip: tuple[str, ...] = ()) -> tuple[list, list[tuple[str, int, bytes]]]:
+    def members(self, d: dict, skip: tuple[str, ...] = (), depth: int = 0) -> tuple[list, list[tuple[str, int, bytes]]]:
         """[scalars, keys of nested members] of an object, and the bridges to the nested members."""
         inner = sorted(k for k, v in d.items() if k not in skip and isinstance(v, (dict, list)))
         own = {k: v for k, v in d.items() if k not in skip and not isinstance(v, (dict, list))}
-        return [own, inner], [("member", i, self.value(d[k])) for i, k in enumerate(inner)]
+        return [own, inner], [("member", i, self.value(d[k], depth=depth + 1)) for i, k in enumerate(inner)]
 
-    def value(self, v: Any, kind: str | None = None, text: str | None = None) -> bytes:
+    def value(self, v: Any, kind: str | None = None, text: str | None = None, depth: int = 0) -> bytes:
         """A node of any JSON value; `kind` is object, list or scalar if not given."""
+        if depth > DEEPEST:
+            return self.node(kind or "scalar", text, pl.canonical(["deep", v]), [])
         if isinstance(v, dict):
-            own, kids = self.members(v)
+            own, kids = self.members(v, depth=depth)
             return self.node(kind or "object", text, pl.canonical(["object", *own]), kids)
         if isinstance(v, list):
-            kids = [("item", i, self.value(x)) for i, x in enumerate(v)]
+            kids = [("item", i, self.value(x, depth=depth + 1)) for i, x in enumerate(v)]
             return self.node(kind or "list", text, pl.canonical(["list"]), kids)
         return self.node(kind or "scalar", text, pl.canonical(["scalar", v]), [])
 

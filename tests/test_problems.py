@@ -152,6 +152,12 @@ def test_nested_store_keeps_whole_objects(spark):
     assert all(x in bodies for x in ('"status":"bad"', '"row":2', '"row":9', '"unit":"kg"', '"by":"b"', "beyond"))
 
 
+def test_nested_store_of_a_deep_cell():
+    store = nested._Store()
+    store.file(1, '[{"section_id": "S", "tables": [{"table_id": "T", "headers": ["N"], "rows": [[' + "[" * 700 + "7" + "]" * 700 + "]]}]}]")
+    assert store.out[-1][0] == "root" and any("7" in (r[7] or "") for r in store.out)
+
+
 def test_payload_parsing():
     assert pl.parse_sections("\ufeff[]") == [] and pl.parse_sections("3") is None and pl.parse_sections('{"a": 1}') is None
     assert pl.kind_of(True) == "text" and pl.kind_of(1.5) == "number" and pl.kind_of({}) == "object"
