@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: dict[str, list] = {}
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the session.
@@ -27,6 +30,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder and read back."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`df` written as a Parquet table to the shared checkpoint folder and read back.
+
+    Unlike rows of a checkpoint, the table is compressed, its columns are read
+    only where they are used, and its size is known to the planner. The tables go
+    when the JVM of the driver ends, or with `release`.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/quirelake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that `cut` has written; results that read them must have been stored."""
+    for place in _written.pop(spark.sparkContext.applicationId, []):
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
