@@ -1,14 +1,16 @@
 """Template residue, filler, error pages and script notices in documents.
 
-A document is cut into segments (lines and sentences), each brought to a key in
-which numbers and unfilled placeholders are masked. Segments that the trusted
-rules or exemplars name are the seeds. Distinct segments are looked up by the
-rarest of their trigrams: as many as two segments of the declared similarity
-cannot all differ in, so every such pair meets. Candidates are verified by
-SimHash distance and by trigram similarity, and the labels spread from the seeds
-along verified links until a round adds nothing. That is connected components,
-restricted to those that hold a trusted label: links among ordinary sentences
-are never made. A document with a labelled segment is residue.
+A document is cut into units: its lines and sentences, the heads of status lines,
+and the bracketed spans inside them. Each unit is brought to a key in which
+numbers, the names inside brackets and runs of dummy text are masked. A small set
+of labelled keys (`seed_keys`) is the only source of labels. Near-duplicates of a
+labelled key are looked up in four tables, one a 16-bit part of the 64-bit SimHash;
+a query is looked up under its own part and under those that differ in its least
+certain bits. Candidates are verified by Hamming distance and by trigram
+similarity, and labels spread along verified links until a round adds nothing:
+connected components, restricted to those that hold a trusted label, so links
+among ordinary sentences are never made. A document with a labelled unit is
+residue.
 """
 
 from __future__ import annotations
@@ -29,77 +31,33 @@ from quirelake.plans.lineage import cut
 from quirelake.plans.sizes import broadcast_if_small
 from quirelake.sources.tables import table
 
-#: Links of similarity 0.8 lie at a distance of about 10 (standard deviation 3), unrelated segments at 32.
+#: Links of similarity 0.8 lie at a distance of about 10 (standard deviation 3), unrelated units at 32.
 HAMMING = 24
 SIMILARITY = 0.8
-#: Keys and characters of each that the order of the trigrams is estimated from.
-ORDER_KEYS, ORDER_CHARS = 20_000, 500
+#: Tables, bits of the fingerprint in each, and least certain bits of a part that a query also looks up flipped.
+TABLES, PART, FLIPS = 4, 16, 6
+#: Rows of probes that may be broadcast: three numbers each.
+PROBE_ROWS = 500_000
 MASK = "⟦⟧"
 
-_NAME = r"[^\W\d_][\w .\-/]{0,40}?"
 _HTML = "html|head|body|title|h[1-6]|hr|br|p|div|span|a|b|i|u|em|strong|ul|ol|li|table|thead|tbody|tr|td|th|pre|code|center|font|img|nav|header|footer|main|section|article|small|sup|sub|script|noscript|style|form|input|button|label|meta|link"
-#: Unfilled placeholders, longest forms first.
-PLACEHOLDER = re.compile(
+_TAG = re.compile(rf"<!--.*?-->|</?(?:{_HTML})\b[^<>]*>", re.IGNORECASE | re.DOTALL)
+_NAME = r"[^\W\d_][^\[\]{}<>«»()%@\n]{0,48}?"
+#: Spans in brackets or blanks to be written over, of any meaning; what they mean is decided by their key.
+SPAN = re.compile(
     rf"""\{{\{{\s*{_NAME}\s*\}}\}} | \{{%\s*{_NAME}\s*%\}} | \[\[\s*{_NAME}\s*\]\] | <<\s*{_NAME}\s*>> | «\s*{_NAME}\s*» | @@\s*{_NAME}\s*@@
-    | [$\#]?\{{\s*{_NAME}\s*\}} | __{_NAME}__ | %[^\W\d_][\w]{{0,30}}(?:\s\w+)?%
-    | <(?!/?(?:{_HTML})\b)(?:enter\s+)?{_NAME}>
-    | \[\s*(?:insert|enter|your|add|여기에)\s+{_NAME}(?:\s+here)?\s*\] | \[\s*{_NAME}\s+(?:goes\s+here|입력|기재|미정|추후)[^\[\]]{{0,30}}\]
-    | \(\s*{_NAME}(?:을\(를\)|를\(을\)|을|를)\s*(?:입력|기재|작성)[^()]{{0,10}}\)
-    | ○{{2,}}\s*\({_NAME}\) | \d*○{{2,}}년(?:\s*○+월)?(?:\s*○+일)? | ○{{2,}}(?:,○{{3}})+
-    | X{{3}}-{_NAME}-X{{3}} | \b\d\dXX(?:[.\-/년]\s*XX[.\-/월]?){{1,2}} | \btodo:\s*(?:fill\s+in|add|insert|write)\s+\w+""",
+    | [$\#]?\{{\s*{_NAME}\s*\}} | __{_NAME}__ | %[^\W\d_]\w{{0,30}}(?:\s\w+)?% | <{_NAME}> | \[\s*{_NAME}\s*\]
+    | ○{{2,}}\s*\({_NAME}\) | \({_NAME}(?:\([^()]{{1,3}}\)[^()]{{0,40}})?\)
+    | \d*○{{2,}}(?:년(?:\s*○+월)?(?:\s*○+일)?|(?:,○{{3}})+) | X{{3}}-{_NAME}-X{{3}} | \b\d\dXX(?:[.\-/년]\s*XX[.\-/월]?){{1,2}}
+    | \btodo:\s*\w+(?:\s(?:in|here))?\s+\w+""",
     re.VERBOSE | re.IGNORECASE,
 )
-#: Around a placeholder: the text speaks about the notation and does not leave it unfilled.
+#: Around a span: the text speaks about the notation and does not leave it unfilled.
 BEFORE = re.compile(r"(?:['\"“‘`「]|예\s*[:：]|e\.g\.|such as|like|변수|태그|표기|기호|notation|variable|tag|token)[\s(]*$", re.IGNORECASE)
 AFTER = re.compile(r"^\s*(?:['\"”’`」]|\)?\s*(?:라는|이라는|표기|기호|변수|구문|notation|syntax|token|tag|variable|placeholder)\b)", re.IGNORECASE)
-
-_SCRIPT = r"(?:java\s?script|자바\s*스크립트|스크립트|\bscripting\b|\bscripts?\b|client-side code|\bjs\b)"
-RULES: tuple[tuple[str, re.Pattern], ...] = (
-    ("script", re.compile(rf"(?:please|kindly|you (?:need|have) to|must)\b.{{0,30}}\b(?:turn on|enable|activate|allow|permit|switch on)\b.{{0,20}}{_SCRIPT}", re.IGNORECASE)),
-    ("script", re.compile(rf"{_SCRIPT}.{{0,12}}\b(?:must|needs? to|has to|have to) be (?:allowed|enabled|activated|on)", re.IGNORECASE)),
-    ("script", re.compile(rf"{_SCRIPT}\s+(?:(?:is|are|has been)\s+)?(?:required (?:to|so)|blocked|disabled|(?:switched|turned) off|not enabled)", re.IGNORECASE)),
-    ("script", re.compile(rf"{_SCRIPT}[^.]{{0,20}}(?:켜야|허용해야|풀어야|활성화해야|설정을 해야|켜 주|켜주|활성화해 주|허용해 주|꺼져 있|차단되어|차단돼)", re.IGNORECASE)),
-    ("script", re.compile(r"\bnoscript\b", re.IGNORECASE)),
-    ("error", re.compile(r"^(?:(?:접속\s*)?오류|error|http|oops!?|status:?)\s*[:(]?\s*(?:[45]\d\d|n/a)\)?[.!]?$", re.IGNORECASE)),
-    ("error", re.compile(r"^[45]\d\d\s*(?:-|–|—|:)\s*request failed|^[45]\d\d\s+오류가 발생|^(?:접속 오류|oops!)\s*\(", re.IGNORECASE)),
-    ("error", re.compile(r"^(?:trace(?: id)?|reference id|request id|식별 번호|추적 번호)\s*[:#]?\s*(?:[0-9a-f]{6,}|n/a)[.]?$", re.IGNORECASE)),
-    ("error", re.compile(r"^at [\w.$]+ \([\w./]+:\d+\)$|^\{\s*\"(?:status|error|code)\"\s*:", re.IGNORECASE)),
-    ("filler", re.compile(r"\b(?:(?:asdf|qwer|zxcv|hjkl)\s*){2,}|\b(?:test\s+){2,}test\b|가나다라\s*마바사|lorem ipsum\b.{3,}", re.IGNORECASE)),
-)
-# Sentences that are residue as a whole.
-EXEMPLARS: tuple[tuple[str, str], ...] = (
-    ("filler", "여기에 본문 내용이 들어갑니다."),
-    ("filler", "샘플 내용으로 채워진 문단입니다."),
-    ("filler", "제목을 넣어 주세요."),
-    ("filler", "텍스트를 입력하는 자리입니다."),
-    ("filler", "예시 문장입니다."),
-    ("filler", "Sample paragraph text, replace before publishing."),
-    ("filler", "Type your description in this box."),
-    ("filler", "Placeholder copy for layout only."),
-    ("filler", "Your text goes here."),
-    ("filler", "This is a sample page."),
-    ("error", "요청하신 페이지를 찾을 수 없습니다."),
-    ("error", "접근 권한이 없는 문서입니다."),
-    ("error", "서버 응답 시간이 지났습니다."),
-    ("error", "시스템 점검 중이라 이용할 수 없습니다."),
-    ("error", "일시적인 장애로 내용을 표시하지 못했습니다."),
-    ("error", "로그인 시간이 만료되었으니 다시 접속해 주세요."),
-    ("error", "The page you asked for could not be located."),
-    ("error", "The requested page was not found."),
-    ("error", "You do not have permission to view this resource."),
-    ("error", "The server took too long to answer."),
-    ("error", "Service is down for upkeep."),
-    ("error", "An unexpected problem stopped this request."),
-    ("error", "Your session has run out, sign in again."),
-    ("error", "The database link was lost."),
-    ("error", "처음 화면으로 돌아가기"),
-    ("error", "문제가 이어지면 관리자에게 알려 주세요."),
-    ("error", "잠시 후 다시 시도해 주십시오."),
-    ("error", "Go back to the start page."),
-    ("error", "Try again in a few minutes."),
-    ("script", "스크립트가 꺼져 있어 목록을 그리지 못했습니다."),
-    ("script", "Please enable JavaScript to continue."),
-)
+# Words that ask for a value; inside a span they stay, all else is masked.
+CUES = ("insert", "enter", "your", "add", "here", "goes", "todo", "fill", "write", "입력하세요", "입력", "기재", "미정", "추후", "여기에", "을(를)")
+_CUE = re.compile("|".join(map(re.escape, CUES)) + r"|\bin\b", re.IGNORECASE)
 # The customary dummy text's words.
 LOREM = (
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud "
@@ -108,57 +66,121 @@ LOREM = (
     "malesuada fames ac turpis egestas vestibulum pharetra faucibus porttitor massa ornare nullam"
 ).split()
 _LOREM_STEMS = {w[:4] for w in LOREM if len(w) >= 4} | {"ipsa"}
-#: Headings of error pages, taken off before the sentence is keyed.
-_HEAD = re.compile(r"^(?:(?:알림|요청 실패|안내|notice|http \d{3}|\(\d{3}\)|(?:접속\s*)?오류\s*\(?\d{3}\)?|error\s*\d{3}|oops!\s*\([^)]*\)|[45]\d\d\s*-\s*request failed|[45]\d\d 오류가 발생했습니다)\s*[:.\-]?\s+)+", re.IGNORECASE)
-_TAG = re.compile(rf"<!--.*?-->|</?(?:{_HTML})\b[^<>]*>", re.IGNORECASE | re.DOTALL)
-_CUT = re.compile(r"[\r\n]+|(?<!XX\.)(?<=[.!?。])[\"'”’]?\s+")
+DUMMY = "⟦dummy⟧"
+
+# Labelled examples, sentences that are residue as a whole.
+SEEDS: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("placeholder", (
+        "{{name}}", "{name}", "${name}", "#{name}", "{% name %}", "[[name]]", "<<name>>", "«name»", "@@name@@", "__name__", "%name%", "<name>", "<enter name>",
+        "[insert name here]", "[enter name]", "[name goes here]", "[your name]", "[add name]", "[여기에 name]", "[name 입력]", "[name 기재]", "[name 미정 - 추후 기재]",
+        "(name을(를) 입력하세요)", "○○○(name)", "20○○년", "20○○년 ○월 ○일", "○○○,○○○", "XXX-name-XXX", "20XX. XX. XX.", "20XX. XX.", "TODO: fill in name", "TODO: add name", "TODO: insert name",
+    )),
+    ("filler", (
+        DUMMY, "asdf asdf qwer asdf", "test test test 1", "가나다라 마바사아 자차카타파하",
+        "여기에 본문 내용이 들어갑니다.", "샘플 내용으로 채워진 문단입니다.", "제목을 넣어 주세요.", "텍스트를 입력하는 자리입니다.", "예시 문장입니다.",
+        "Sample paragraph text, replace before publishing.", "Type your description in this box.", "Placeholder copy for layout only.", "Your text goes here.", "This is a sample page.",
+    )),
+    ("error", (
+        "접속 오류(404)", "오류 404", "Error 404", "HTTP 404", "Status: 404", "Oops! (404)", "404 - request failed", "404 오류가 발생했습니다", "trace 1a2b3c4d", "reference id 1a2b3c4d", "request id 1a2b3c4d",
+        "식별 번호 1a2b3c4d", "추적 번호 1a2b3c4d", "trace n/a", '{"status": 404, "message": "a"}', '{"code": 404, "message": "a"}', '{"error": "a"}', "reference id n/a", "식별 번호 n/a", "at handler.render (view:1)",
+        "요청하신 페이지를 찾을 수 없습니다.", "접근 권한이 없는 문서입니다.", "서버 응답 시간이 지났습니다.", "시스템 점검 중이라 이용할 수 없습니다.", "일시적인 장애로 내용을 표시하지 못했습니다.",
+        "로그인 시간이 만료되었으니 다시 접속해 주세요.", "The page you asked for could not be located.", "The requested page was not found.", "You do not have permission to view this resource.",
+        "The server took too long to answer.", "Service is down for upkeep.", "An unexpected problem stopped this request.", "Your session has run out, sign in again.", "The database link was lost.",
+        "처음 화면으로 돌아가기", "문제가 이어지면 관리자에게 알려 주세요.", "잠시 후 다시 시도해 주십시오.", "Go back to the start page.", "Try again in a few minutes.", "If this goes on, tell the administrator.",
+    )),
+    ("script", ("스크립트가 꺼져 있어 목록을 그리지 못했습니다.", "Loading… (scripts are blocked)", "noscript: interactive table unavailable")),
+)
+# Halves of script notices; each first half goes with each second one of its language.
+NOTICES: tuple[tuple[tuple[str, ...], tuple[str, ...]], ...] = (
+    (
+        ("자바스크립트를 켜야", "JavaScript 사용 설정을 해야", "브라우저에서 스크립트 실행을 허용해야", "스크립트 차단을 풀어야", "자바 스크립트(JS) 기능을 활성화해야"),
+        ("볼 수 있습니다", "이 페이지를 볼 수 있습니다", "계속할 수 있습니다", "표를 불러올 수 있습니다", "견적 포털을 이용할 수 있습니다", "도면 보기가 열립니다"),
+    ),
+    (
+        ("Please turn on JavaScript", "You need to enable JS", "Scripts must be allowed", "Kindly activate scripting", "JavaScript is required", "Please enable JavaScript"),
+        ("to continue", "to use the quote portal", "to view this content", "so that the table can be drawn", "for the parts list to appear", "before the drawing viewer can load"),
+    ),
+    (
+        ("Your browser has scripting switched off; change that", "We noticed that client-side code is blocked; permit it"),
+        ("to continue", "to use the quote portal", "to view this content", "so that the table can be drawn", "for the parts list to appear", "before the drawing viewer can load"),
+    ),
+)
+
+#: Ends of lines and sentences; Korean sentences also end without a mark.
+_CUT = re.compile(r"[\r\n]+|\s+and\s+(?=\w+[.!](?:\s|$))|(?<!XX\.)(?<=[.!?。])[\"'”’]?\s+|(?<=습니다)\s+|(?<=\d\))\s+|(?<=[a-z]\))\s+(?=[A-Z가-힣])")
+#: A status line's number with what leads to it, before a sentence on the same line.
+_HEAD = re.compile(r"^(?:[^\W\d]+[\s:!(]{1,2}){0,3}\(?[45]\d\d\)?(?:\s*-\s*request failed|\s*오류가 발생했습니다)?(?:\s*[:.\-])?(?=\s|$)", re.IGNORECASE)
+_NOTE = re.compile(r"^(?:알림|요청 실패|안내|notice)\s*[:.\-]?\s+", re.IGNORECASE)
+_TEXT = re.compile(r"\"([^\"]*)\"(?=\s*[,}])")
 _ODD = {0xAD: None, 0x200B: None, 0x200C: None, 0x200D: None, 0x2060: None, 0xFEFF: None, 0x200E: None, 0x200F: None}
+_MAY_SPAN = re.compile(r"[{\[<«○(]|@@|__|XX|todo:|%[^\W\d]", re.IGNORECASE)
+_HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|\d+")
 
 
-#: Cheap tests before the rules: text without any of these can match none.
-_MAY_RULE = re.compile(r"script|스크립트|\bjs\b|client-side|오류|error|http|oops|status|request|trace|reference|식별|추적|^at |^\{|asdf|qwer|zxcv|hjkl|test|가나다라|lorem", re.IGNORECASE)
-_MAY_MASK = re.compile(r"[{\[<«○]|@@|__|XX|todo|[%(][^\W\d]", re.IGNORECASE)
 
 
 def segments(text: str) -> list[str]:
-    """Lines and sentences of a document without markup and page markers."""
-    t = _TAG.sub("\n", text.translate(_ODD))
-    return [s for s in (x.strip() for x in _CUT.split(t)) if s]
-
-
-def unfilled(segment: str) -> bool:
-    """Whether the segment holds a placeholder that it does not merely talk about."""
-    for m in PLACEHOLDER.finditer(segment):
-        if not (BEFORE.search(segment[: m.start()]) or AFTER.search(segment[m.end() :])):
-            return True
-    return False
-
-
-def latin_filler(segment: str) -> bool:
-    w = re.findall(r"[a-z]+", segment.casefold())
-    return len(w) >= 4 and sum(x[:4] in _LOREM_STEMS for x in w) >= 0.6 * len(w)
-
-
-def trusted_label(segment: str) -> str | None:
-    """placeholder, script, error or filler by the trusted rules, None if they say nothing."""
-    s = unicodedata.normalize("NFKC", segment)
-    if _MAY_RULE.search(s):
-        for kind, rule in RULES:
-            if rule.search(s):
-                return kind
-    if _MAY_MASK.search(segment) and unfilled(segment):
-        return "placeholder"
-    return "filler" if latin_filler(s) else None
+    """Lines and sentences of a document without markup, heads of status lines on their own."""
+    t = text.translate(_ODD)
+    if "<" in t:
+        t = _TAG.sub("\n", t)
+    out = []
+    for s in map(str.strip, _CUT.split(t)):
+        if s.startswith('{"') and "}" in s:
+            body, rest = s[: s.rindex("}") + 1], s[s.rindex("}") + 1 :]
+            out += [_TEXT.sub('"a"', body), *_TEXT.findall(body), rest.strip()]
+        elif head := _HEAD.match(s) if "4" in s[:32] or "5" in s[:32] else None:
+            out += [head.group(0), s[head.end() :].strip()]
+        else:
+            out.append(s)
+    return [s for s in out if s]
+
+
+def _masked(s: str) -> str:
+    return re.sub(r"\s+", " ", _HEX.sub("0", s)).strip(" .!?\"'")
+
+
+def span_key(span: str) -> str:
+    """The notation of a span: its marks and asking words stay, its name is `a`."""
+    out, at = [], 0
+    s = unicodedata.normalize("NFKC", span).casefold()
+    for m in _CUE.finditer(s):
+        out += [re.sub(r"[^\W\d_○x][\w .\-/]*", "a", s[at : m.start()]), m.group(0)]
+        at = m.end()
+    out.append(re.sub(r"[^\W\d_○x][\w .\-/]*(?<!-)", "a", s[at:]))
+    return MASK + re.sub(r"\s+", "", _HEX.sub("0", "".join(out)))
 
 
 def segment_key(segment: str) -> str:
-    """Comparable form: head line off, placeholders and numbers masked, case and end marks off."""
-    s = PLACEHOLDER.sub(MASK, segment) if _MAY_MASK.search(segment) else segment
+    """Comparable form of a line or sentence: spans, numbers and dummy text masked, case and end marks off."""
+    s = SPAN.sub(MASK, segment) if _MAY_SPAN.search(segment) else segment
     s = unicodedata.normalize("NFKC", s).casefold()
-    s = _HEAD.sub("", s)
-    s = re.sub(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", "0", s)
-    s = re.sub(r"\d+", "0", s)
-    return re.sub(r"\s+", " ", s).strip(" .!?\"'")
+    if "a" <= s[-2:-1] <= "z":
+        w = s.split()
+        dummy = [x[:4] in _LOREM_STEMS for x in w]
+        if len(w) >= 4 and sum(dummy) >= 0.6 * len(w):
+            return DUMMY
+    return _masked(_NOTE.sub("", s))
+
+
+def units(text: str) -> list[str]:
+    """Keys of all units of a document, once each."""
+    out = {}
+    for s in segments(text):
+        out[segment_key(s)] = None
+        if _MAY_SPAN.search(s):
+            for m in SPAN.finditer(s):
+                if not (BEFORE.search(s, max(0, m.start() - 40), m.start()) or AFTER.search(s[m.end() : m.end() + 40])):
+                    out[span_key(m.group(0))] = None
+    out.pop("", None)
+    out.pop(MASK, None)
+    return list(out)
+
+
+def seed_keys() -> dict[str, str]:
+    """key -> label of the labelled examples."""
+    out = {span_key(x) if kind == "placeholder" else x if x == DUMMY else segment_key(segments(x)[0]): kind for kind, texts in SEEDS for x in texts}
+    return out | {segment_key(f"{a} {b}"): "script" for first, second in NOTICES for a in first for b in second}
 
 
 def trigrams(key: str) -> set[str]:
@@ -184,78 +206,83 @@ def _gram_hashes(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h ^ (h >> np.uint64(31)), grams
 
 
-def _simhash_of(h: np.ndarray, grams: np.ndarray) -> np.ndarray:
+def _margins(h: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Twice the share of trigrams that have each of 64 bits set, less one; its sign is the SimHash."""
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = np.add.reduceat(bits, np.cumsum(grams) - grams, axis=0, dtype=np.int32)
-    return np.packbits(ones * 2 > grams[:, None], axis=1, bitorder="little").view(np.int64).ravel()
+    return (ones * 2 - grams[:, None]) / grams[:, None]
+
+
+def _packed(margins: np.ndarray) -> np.ndarray:
+    return np.packbits(margins > 0, axis=1, bitorder="little").view(np.int64).ravel()
 
 
 def simhashes(keys: list[str]) -> np.ndarray:
     """64-bit SimHash of each key's character trigrams, signed, a batch at once."""
-    return _simhash_of(*_gram_hashes(keys))
+    return _packed(_margins(*_gram_hashes(keys)))
 
 
-def simhash(key: str) -> int:
-    return int(simhashes([key])[0])
+def probes(margins: np.ndarray) -> np.ndarray:
+    """(keys, TABLES, 2 ** FLIPS) parts that each key is looked up under.
 
+    Of every part the FLIPS bits of least margin are flipped in all combinations:
+    those are the bits in which a near-duplicate differs most often.
+    """
+    own = _packed(margins).view(np.uint64)
+    out = np.empty((len(margins), TABLES, 1 << FLIPS), dtype=np.int64)
+    for t in range(TABLES):
+        part = ((own >> np.uint64(t * PART)) & np.uint64((1 << PART) - 1)).astype(np.int64)
+        weak = np.abs(margins[:, t * PART : (t + 1) * PART]).argsort(axis=1, kind="stable")[:, :FLIPS]
+        masks = np.zeros((len(margins), 1), dtype=np.int64)
+        for j in range(FLIPS):
+            masks = np.concatenate([masks, masks ^ (1 << weak[:, j : j + 1])], axis=1)
+        out[:, t] = part[:, None] ^ masks
+    return out
 
-def _rarest_of(h: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Of each key the number of distinct trigrams, and the first of them in order of `counts`.
 
-    Of g distinct trigrams the first g - ceil(SIMILARITY * g) + 1 are given. Two
-    keys of at least that similarity share one of them under any common order;
-    rare ones first keeps chance meetings few.
-    """
-    owner = np.repeat(np.arange(len(grams)), grams)
-    order = np.lexsort((h, counts[(h & np.uint64(0xFFFF)).astype(np.int64)], owner))
-    h, owner = h[order], owner[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    h, owner = h[new], owner[new]
-    g = np.bincount(owner, minlength=len(grams))
-    take = g - np.ceil(SIMILARITY * g - 1e-9).astype(np.int64) + 1
-    kept = np.arange(len(h)) - np.repeat(np.cumsum(g) - g, g) < take[owner]
-    return g, np.split((h[kept] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.cumsum(take)[:-1])
-
-
-def gram_counts(keys: list[str]) -> np.ndarray:
-    """How often each of 65,536 classes of trigrams occurs in `keys`."""
-    if not keys:
-        return np.zeros(1 << 16, np.int64)
-    return np.bincount((_gram_hashes(keys)[0] & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
-
-
-def _segment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def size_class(grams: np.ndarray) -> np.ndarray:
+    """Class of a trigram count: counts of similar keys differ by at most one class."""
+    return np.floor(np.log(grams) / np.log(1 / SIMILARITY)).astype(np.int64)
+
+
+def _unit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        out = []
+        docs, keys = [], []
         for doc, text in zip(pdf["doc_id"], pdf["text"]):
-            seen = set()
-            for s in segments(text):
-                k = segment_key(s)
-                label = trusted_label(s)
-                if k and (k, label) not in seen:
-                    seen.add((k, label))
-                    out.append((doc, xxh64_intdigest(k.encode("utf-8", "surrogatepass")) - (1 << 63), k, label))
-        yield pd.DataFrame(out, columns=["doc_id", "seg", "key", "label"])
+            own = units(text)
+            docs += [doc] * len(own)
+            keys += own
+        yield pd.DataFrame({"doc_id": docs, "seg": [xxh64_intdigest(k.encode("utf-8", "surrogatepass")) - (1 << 63) for k in keys], "key": keys})
 
 
-def fingerprints(segs: DataFrame) -> DataFrame:
-    """`segs` (seg, key, label) with fp, grams and rare: SimHash, distinct trigrams, the rarest of them.
+def _distinct_grams(keys: list[str]) -> np.ndarray:
+    return np.array([len({k[i : i + 3] for i in range(len(k) - 2)}) for k in (f"  {k} " for k in keys)], dtype=np.int64)
 
-    The order of the trigrams is estimated from some of the keys; it must be one
-    for all rows but may be any, links do not hang on it.
-    """
-    counts = gram_counts([r.k for r in segs.select(F.substring("key", 1, ORDER_CHARS).alias("k")).limit(ORDER_KEYS).collect()])
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(0, len(pdf), 500):
-                part = pdf.iloc[i : i + 500]
-                h, n = _gram_hashes(part["key"].tolist())
-                g, rare = _rarest_of(h, n, counts)
-                yield part.assign(fp=_simhash_of(h, n), grams=g.astype(np.int32), rare=rare)
+def _fingerprint_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for i in range(0, len(pdf), 1000):
+            part = pdf.iloc[i : i + 1000]
+            keys = part["key"].tolist()
+            yield part.assign(fp=simhashes(keys), z=size_class(_distinct_grams(keys)).astype(np.int32))
+
 
-    return segs.select("seg", "key", "label").mapInPandas(rows, "seg bigint, key string, label string, fp bigint, grams int, rare array<int>")
+def fingerprints(keys: DataFrame) -> DataFrame:
+    """`keys` (seg, key) with fp and z: SimHash and size class."""
+    return keys.select("seg", "key").mapInPandas(_fingerprint_rows, "seg bigint, key string, fp bigint, z int")
+
+
+def _probe_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for i in range(0, len(pdf), 200):
+            part = pdf.iloc[i : i + 200]
+            keys = part["key"].tolist()
+            m = _margins(*_gram_hashes(keys))
+            p = probes(m) | (np.arange(TABLES)[None, :, None] << PART)
+            z = size_class(_distinct_grams(keys))
+            p = p[:, None] | ((z[:, None] + np.array([0, 1, 2])) << (PART + 2))[:, :, None, None]
+            n = p[0].size
+            yield pd.DataFrame({"at": p.ravel(), "a": np.repeat(part["seg"].to_numpy(), n), "fa": np.repeat(_packed(m), n)})
 
 
 @F.pandas_udf(DoubleType())
@@ -267,77 +294,70 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def propagate(segs: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(seg, label): `segs` (seg, key, fp, grams, rare, label) with labels spread over near-duplicates.
-
-    A link needs a trigram similarity of at least SIMILARITY, a Hamming distance of
-    at most HAMMING, and the same number of masked placeholders. Of two labels
-    that reach a segment in one round the alphabetically first stands. Rounds go on
-    until one adds nothing, or `rounds` are done if given.
+def neighbours(segs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(seg, a, similarity) of the keys of `segs` that are near-duplicates of keys of `asked`.
 
-    Candidates share a trigram of `rare`. Besides it, linked segments share the
-    number of masks and neighbour in size class (a similarity of 0.8 bounds the
-    ratio of the trigram counts), so both stand in the join key and lose no link.
+    `segs` is (seg, key, fp, z), `asked` (seg, key). Rows of `segs` are read in place
+    as long as the probes are few enough to be broadcast; their texts are
+    fetched for candidates only.
     """
-    known = cut(segs.filter("label is not null").select("seg", "label"))
-    marks = (F.length("key") - F.length(F.replace(F.col("key"), F.lit(MASK), F.lit("")))).alias("m")
-    size = F.floor(F.log(F.col("grams").cast("double")) / F.log(F.lit(1 / SIMILARITY))).cast("int")
-    slim = segs.select("seg", "fp", marks, size.alias("z"), "rare", "label")
-    tables = cut(slim.filter("label is null").drop("label"))
-    frontier = cut(slim.filter("label is not null"))
-    text = segs.select("seg", "key")
-    for _ in itertools.count() if rounds is None else range(rounds):
-        asked = frontier.select("m", "z", F.explode("rare").alias("g"), F.col("seg").alias("a"), F.col("fp").alias("fa"), "label").withColumn("z", F.explode(F.array(F.col("z") - 1, F.col("z"), F.col("z") + 1)))
-        near = tables.select("seg", "fp", "m", "z", F.explode("rare").alias("g")).join(broadcast_if_small(asked), ["g", "m", "z"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("fa"))) <= HAMMING)
-        near = cut(near.groupBy("seg", "a").agg(F.min("label").alias("label")))
-        pairs = text.join(broadcast_if_small(near), "seg").join(text.select(F.col("seg").alias("a"), F.col("key").alias("ka")).join(broadcast_if_small(near.select("a").distinct()), "a", "left_semi"), "a")
-        near = pairs.filter(_similarity("key", "ka") >= SIMILARITY).groupBy("seg").agg(F.min("label").alias("label"))
-        added = cut(near.join(known.select("seg"), "seg", "left_anti"))
+    look = cut(asked.select("seg", "key").mapInPandas(_probe_rows, "at bigint, a bigint, fa bigint"))
+    z = (F.col("z").cast("bigint") + 1) * (1 << (PART + 2))
+    entries = F.array(*[F.shiftrightunsigned("fp", t * PART).bitwiseAND((1 << PART) - 1) + (t << PART) + z for t in range(TABLES)])
+    near = segs.select("seg", "fp", F.explode(entries).alias("at")).join(broadcast_if_small(look, PROBE_ROWS), "at").filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("fa"))) <= HAMMING)
+    near = cut(near.select("seg", "a").distinct())
+    texts = segs.select("seg", "key").join(broadcast_if_small(near), "seg").join(broadcast_if_small(asked.select(F.col("seg").alias("a"), F.col("key").alias("ka"))), "a")
+    return texts.select("seg", "a", _similarity("key", "ka").alias("similarity")).filter(F.col("similarity") >= SIMILARITY)
+
+
+def propagate(segs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seg, label, hop): `segs` (seg, key, fp, z) that links tie to `seeds` (seg, key, label).
+
+    A link needs a trigram similarity of at least SIMILARITY and a Hamming distance
+    of at most HAMMING. hop 0: the key is that of a seed; hop n: reached in round
+    n. Of two labels that reach a key in one round the alphabetically first
+    stands. Rounds go on until one adds nothing.
+    """
+    frontier, known = cut(seeds.select("seg", "key", "label")), None
+    for hop in itertools.count(1):
+        links = neighbours(segs, frontier).join(broadcast_if_small(frontier.select(F.col("seg").alias("a"), "label")), "a")
+        got = links.groupBy("seg").agg(F.min("label").alias("label"), F.max(F.col("seg") == F.col("a")).alias("self"))
+        if known is not None:
+            got = got.join(broadcast_if_small(known.select("seg")), "seg", "left_anti")
+        same = F.lit(hop == 1) & F.col("self")
+        added = cut(got.select("seg", "label", F.when(same, 0).otherwise(hop).alias("hop")))
         if added.limit(1).count() == 0:
-            break
-        known = cut(known.unionByName(added))
-        frontier = cut(tables.join(broadcast_if_small(added), "seg"))
-    return known
+            return added if known is None else known
+        known = added if known is None else cut(known.unionByName(added))
+        frontier = cut(segs.select("seg", "key").join(broadcast_if_small(added.select("seg", "label")), "seg"))
 
 
-def residue_origins(docs: DataFrame) -> DataFrame:
-    """(doc_id, label, seg, origin) of every residue segment of every document.
+def residue_units(docs: DataFrame) -> DataFrame:
+    """(doc_id, label, seg, hop) of every residue unit of every document.
 
-    origin `rule`: the segment itself matches a rule; `exemplar`: its key is that
-    of an exemplar; `link`: near-duplicates tie it to one of these. Null or empty
-    texts have no segment; rows without doc_id are left out; repeated rows count
-    once; an empty table gives no row.
+    hop is the number of links from a labelled example, 0 if the key is one.
+    Null or empty texts have no unit; rows without doc_id are left out; repeated
+    rows count once; an empty table gives no row.
     """
-    rows = cut(docs.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(_segment_rows, f"doc_id {dict(docs.dtypes)['doc_id']}, seg bigint, key string, label string"))
     spark = docs.sparkSession
-    seeds = spark.createDataFrame([(xxh64_intdigest(segment_key(s).encode()) - (1 << 63), segment_key(s), kind) for kind, s in EXEMPLARS], "seg bigint, key string, label string")
-    # a key whose rows differ in label is a notation that some rows talk about: only the labelled rows count
-    distinct = rows.select("seg", "key", "label").unionByName(seeds).groupBy("seg").agg(F.first("key").alias("key"), F.min("label").alias("label"))
-    segs = cut(fingerprints(cut(distinct)))
-    spread = propagate(segs).join(segs.filter("label is not null").select("seg"), "seg", "left_anti").withColumn("origin", F.lit("link"))
-    named = seeds.select("seg", "label").withColumn("origin", F.lit("exemplar"))
-    own = rows.filter("label is not null").select("doc_id", "label", "seg", F.lit("rule").alias("origin"))
-    rest = rows.filter("label is null").select("doc_id", "seg").join(spread.unionByName(named), "seg")
-    return own.unionByName(rest.select("doc_id", "label", "seg", "origin")).distinct()
-
-
-def residue_segments(docs: DataFrame) -> DataFrame:
-    """(doc_id, label, seg) of every residue segment of every document, see residue_origins."""
-    return residue_origins(docs).drop("origin").distinct()
+    rows = cut(docs.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(_unit_rows, f"doc_id {dict(docs.dtypes)['doc_id']}, seg bigint, key string"))
+    segs = cut(fingerprints(rows.groupBy("seg").agg(F.first("key").alias("key"))))
+    seeds = spark.createDataFrame([(xxh64_intdigest(k.encode()) - (1 << 63), k, label) for k, label in seed_keys().items()], "seg bigint, key string, label string")
+    return rows.select("doc_id", "seg").join(broadcast_if_small(propagate(segs, seeds)), "seg").select("doc_id", "label", "seg", "hop").distinct()
 
 
 def p9_found(spark, sf_dir: str) -> DataFrame:
-    return residue_segments(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+    return residue_units(table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
 def p9_report(spark, sf_dir: str) -> DataFrame:
-    """(doc_id, labels, segments): what residue each found document holds."""
-    r = residue_segments(table(spark, sf_dir, "documents"))
-    return r.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.count_distinct("seg").alias("segments"))
+    """(doc_id, labels, segments, hops): what residue each found document holds; hops 0 if an example's key is among it."""
+    r = residue_units(table(spark, sf_dir, "documents"))
+    return r.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.count_distinct("seg").alias("segments"), F.min("hop").alias("hops"))
 
 
 def p9_clean(spark, sf_dir: str) -> DataFrame:
     """(doc_id, n_chars) of the documents without residue."""
     docs = table(spark, sf_dir, "documents")
-    bad = residue_segments(docs).select("doc_id").distinct()
+    bad = residue_units(docs).select("doc_id").distinct()
     return docs.select("doc_id", "n_chars").join(bad, "doc_id", "left_anti").distinct()
