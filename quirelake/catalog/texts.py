@@ -81,7 +81,7 @@ def ocr_corrections(s, d):
     return t.select("doc_id", "section_ord", F.md5(X.correct_ocr(F.col("clean_text"))).alias("corrected_md5"))
 
 
-@query("sentence_endings", f"""SELECT doc_id, page_num, count(*) AS lines, count_if(regexp_matches(regexp_replace(l, '{_S}+$', ''), '다\\.$|다\\)$|다"$|[요임음함됨]\\.$|것$|\\.$|\\)$|\\]$|:$')) AS endings
+@query("sentence_endings", f"""SELECT doc_id, page_num, count(*) AS lines, count_if(regexp_matches(regexp_replace(l, '{_S}+$', ''), '([.:)\\]]|다"|것)$')) AS endings
   FROM (SELECT doc_id, page_num, unnest(string_split(text, chr(10))) AS l FROM (SELECT DISTINCT doc_id, page_num, text FROM ocr_pages)) GROUP BY doc_id, page_num""")
 def sentence_endings(s, d):
     lines = table(s, d, "ocr_pages").select("doc_id", "page_num", "text").distinct().select("doc_id", "page_num", F.explode(F.split("text", "\n")).alias("l"))

@@ -99,7 +99,8 @@ def plain_text(md: Column) -> Column:
     return collapse(t)
 
 
-ENDING = r"다\.$|다\)$|다\"$|[요임음함됨]\.$|것$|\.$|\)$|\]$|:$"
+#: A mark that closes a sentence, or a word that does so without one.
+ENDING = r"(?:[.:)\]]|다\"|것)$"
 
 
 def ends_sentence(line: Column) -> Column:

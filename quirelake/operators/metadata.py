@@ -11,10 +11,13 @@ from quirelake.functions.numbers import amount
 from quirelake.functions.text import clean_text, strip
 from quirelake.operators.positions import matches_with_offset
 
-NOTE_BLOCK = r"\[주\]\s*\n([\s\S]*?)(?=\n\n(?!\s*[①-⑩])|\n(?=\d+-\d+)|$(?![\s\S]))"
-SURCHARGE = r"(.+?(?:경우|때|시))\s*(?:본\s*)?(?:품|시공량).*?(\d+)%.*?(가산|감산|감|증|할증)"
-SIMPLE_RATE = r"(\d+)%\s*(할증|가산|감산|증감)"
-REFERENCE = r"(?:제\d+장\s+)?\d+-\d+(?:-\d+)?\s*(?:항?\s*)?(?:참조|준용|적용|따른다)"
+# Words of the domain's notes, rates and references.
+NOTE_MARK = "[주]"
+CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮"
+LESS, MORE = ("감산", "감"), ("가산", "증", "할증")
+PLAIN_RATES = ("할증", "가산", "감산", "증감")
+CITING = ("참조", "준용", "적용", "따른다")
+_BREAK = "\u0001"
 # The labels of a drawing's title block, first match first.
 TITLE_FIELDS = (
     ("dwg_no", r"DWG\s*NO\.?|DRAWING\s*NO\.?"),
@@ -40,43 +43,105 @@ COVER_FIELDS = (
 )
 
 
+def _note_lines(text: Column) -> Column:
+    """struct(noted, rest): the lines of note blocks, each block behind a break, and all other lines.
+
+    A block opens at a line that is the note mark. It closes at a line that begins
+    with a section number, and at a blank line unless a circled number follows.
+    """
+    start = F.struct(F.lit(False).alias("open"), F.lit(False).alias("gap"), F.lit("").alias("noted"), F.lit("").alias("rest"))
+
+    def step(s: Column, line: Column) -> Column:
+        t = strip(line)
+        mark, blank = t == NOTE_MARK, t == ""
+        ends = t.rlike(r"^\d+-\d") | (s["gap"] & ~blank & ~F.substring(t, 1, 1).isin(*CIRCLED))
+        is_open = mark | (s["open"] & ~ends)
+        inside = is_open & ~mark
+        noted = F.when(mark, F.lit(_BREAK)).when(inside, F.concat(line, F.lit("\n"))).otherwise("")
+        rest = F.when(is_open, F.lit("")).otherwise(F.concat(line, F.lit("\n")))
+        return F.struct(is_open.alias("open"), (inside & blank).alias("gap"), F.concat(s["noted"], noted).alias("noted"), F.concat(s["rest"], rest).alias("rest"))
+
+    return F.aggregate(F.split(text, "\n"), start, step, lambda s: F.struct(s["noted"], s["rest"]))
+
+
 def notes(text: Column) -> Column:
     """The items of the note blocks of a text, circled numbers off."""
-    blocks = F.regexp_extract_all(text, F.lit(NOTE_BLOCK), 1)
-    items = F.flatten(F.transform(blocks, lambda b: F.split(strip(b), r"(?=[①-⑮])")))
-    return F.filter(F.transform(items, lambda i: strip(F.regexp_replace(strip(i), r"^[①-⑮]\s*", ""))), lambda i: i != "")
+    pieces = F.split(_note_lines(text)["noted"], f"[{_BREAK}{CIRCLED}]")
+    return F.filter(F.transform(pieces, strip), lambda i: i != "")
 
 
 def without_notes(text: Column) -> Column:
-    return strip(F.regexp_replace(F.regexp_replace(text, NOTE_BLOCK, ""), r"(?m)^\[주\]\s*$", ""))
+    return strip(_note_lines(text)["rest"])
+
+
+def _line_rates(line: Column) -> Column:
+    """array<struct(type, condition, rate)> of one line's surcharges.
+
+    The line is parted where a condition meets what it changes; each part's first
+    percentage with a direction behind it belongs to the condition before.
+    """
+    parts = F.split(line, r"(?<=경우|때|시)\s*(?:본\s*)?(?=품|시공량)")
+    rate = r"(\d+)%[^%]*?(" + "|".join((*MORE, *LESS)) + ")"
+
+    def one(tail: Column, i: Column) -> Column:
+        word = F.regexp_extract(tail, rate, 2)
+        lead = F.element_at(parts, i + 1)
+        own = F.element_at(F.split(lead, rate), -1)
+        return F.struct(F.when(word.isin(*LESS), LESS[0]).otherwise(MORE[0]).alias("type"), strip(own).alias("condition"), F.concat(F.regexp_extract(tail, rate, 1), F.lit("%")).alias("rate"))
 
+    tails = F.slice(parts, F.lit(2), F.size(parts))
+    return F.filter(F.transform(tails, one), lambda c: (c["rate"] != "%") & (c["condition"] != ""))
 
-def conditions(text: Column) -> Column:
-    """array<struct(type, condition, rate)> of surcharges; then plain rates not yet named."""
-    group = lambda k: F.regexp_extract_all(text, F.lit(SURCHARGE), k)
-    kind = lambda t: F.when(t.contains("감"), "감산").when(t.contains("증") | t.contains("가산"), "가산").otherwise(t)
-    full = F.transform(F.arrays_zip(group(1).alias("c"), group(2).alias("r"), group(3).alias("t")), lambda z: F.struct(kind(z["t"]).alias("type"), strip(z["c"]).alias("condition"), F.concat(z["r"], F.lit("%")).alias("rate")))
-    plain = F.transform(matches_with_offset(text, r"\d+%\s*(?:할증|가산|감산|증감)"), lambda m: F.struct(F.regexp_extract(m["match"], SIMPLE_RATE, 2).alias("type"), strip(F.substring(text, F.greatest(m["pos"] - 29, F.lit(1)), F.least(m["pos"], F.lit(30)))).alias("condition"), F.concat(F.regexp_extract(m["match"], SIMPLE_RATE, 1), F.lit("%")).alias("rate")))
-    first = F.filter(plain, lambda p: ~F.exists(full, lambda f: f["rate"] == p["rate"]))
-    once = F.filter(F.transform(first, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda q: ~F.exists(F.slice(first, F.lit(1), q["i"]), lambda e: e["rate"] == q["p"]["rate"]))
-    return F.concat(full, F.transform(once, lambda q: q["p"]))
+
+def conditions(text: Column, before: int = 30) -> Column:
+    """array<struct(type, condition, rate)> of surcharges; then plain rates not yet named.
+
+    The condition of a plain rate is what stands before it, up to `before` characters.
+    """
+    full = F.flatten(F.transform(F.split(text, "\n"), _line_rates))
+
+    def plain(m: Column) -> Column:
+        lead = F.substring(text, F.greatest(m["pos"] + 1 - before, F.lit(1)), F.least(m["pos"], F.lit(before)))
+        number = F.substring_index(m["match"], "%", 1)
+        return F.struct(strip(F.substring_index(m["match"], "%", -1)).alias("type"), strip(lead).alias("condition"), F.concat(number, F.lit("%")).alias("rate"))
+
+    def unless_named(named: Column, c: Column) -> Column:
+        return F.when(F.exists(named, lambda x: x["rate"] == c["rate"]), named).otherwise(F.concat(named, F.array(c)))
+
+    return F.aggregate(F.transform(matches_with_offset(text, rf"\d+%\s*(?:{'|'.join(PLAIN_RATES)})"), plain), full, unless_named)
 
 
 def references(text: Column, around: int = 20) -> Column:
-    """array<struct(target, chapter, context)> of references to other sections."""
-    one = lambda m: F.struct(F.regexp_extract(m["match"], r"(\d+-\d+(?:-\d+)?)", 1).alias("target"), F.regexp_extract(m["match"], r"제(\d+)장", 1).alias("chapter"), strip(F.substring(text, F.greatest(m["pos"] - around + 1, F.lit(1)), F.length(m["match"]) + 2 * around)).alias("context"))
-    return F.transform(matches_with_offset(text, REFERENCE), one)
+    """array<struct(target, chapter, context)> of references to other sections.
+
+    Section numbers are found first; one is a reference if a citing word follows.
+    A chapter named right before it belongs to it.
+    """
+    cites = rf"^\s*항?\s*(?:{'|'.join(CITING)})"
+
+    def one(m: Column) -> Column:
+        after = m["pos"] + F.length(m["match"])
+        tail = F.regexp_extract(F.substring(text, after + 1, F.lit(16)), cites, 0)
+        lead = F.regexp_extract(F.substring(text, F.greatest(m["pos"] - 11, F.lit(1)), F.least(m["pos"], F.lit(12))), r"제\d+장\s+$", 0)
+        begin = m["pos"] - F.length(lead)
+        context = F.substring(text, F.greatest(begin - around + 1, F.lit(1)), after + F.length(tail) - begin + around + F.least(begin, F.lit(around)))
+        return F.struct(m["match"].alias("target"), F.regexp_extract(lead, r"\d+", 0).alias("chapter"), strip(context).alias("context"), (tail != "").alias("cited"))
+
+    found = F.filter(F.transform(matches_with_offset(text, r"\d+(?:-\d+){1,2}"), one), lambda r: r["cited"])
+    return F.transform(found, lambda r: F.struct(r["target"], r["chapter"], r["context"]))
 
 
 def revision_year(text: Column) -> Column:
     """The last year of a revision mark; two digits from 50 on are of the last century."""
-    y = F.regexp_extract(text, r"\((?:'?\d{2,4},\s*)*'?(\d{2,4})년\s*보완\)", 1)
-    n = y.try_cast("int")
-    return F.when(F.length(y) == 4, n).when(n < 50, n + 2000).when(n.isNotNull(), n + 1900)
+    mark = F.regexp_extract(text, r"\(([^()]*)년\s*보완\)", 1)
+    year = F.regexp_extract(mark, r"\d+$", 0)
+    n = year.try_cast("int")
+    return F.when(F.length(year) == 4, n).when(F.length(year) == 2, n + F.when(n < 50, 2000).otherwise(1900))
 
 
 def unit_basis(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, r"\(([^)]*당)\)", 1), F.lit(""))
+    """The first text in parentheses that ends in "per"."""
+    return F.try_element_at(F.filter(F.regexp_extract_all(text, F.lit(r"\(([^()]+)\)"), 1), lambda x: x.endswith("당")), F.lit(1))
 
 
 def section_text(text: Column) -> Column:

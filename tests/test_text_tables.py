@@ -157,6 +157,11 @@ def test_reflow():
     assert reflow_text("관을\n공장에서 자른다. 다음\n1. 항목\n본문") == "관을 공장에서 자른다. 다음\n1. 항목 본문"
     assert reflow_text("자른\n다.") == "자른다."
     assert reflow_text("") == ""
+    assert reflow_text("머리 1-2-3 관 공사\n본문\n\n\n\n끝") == "머리\n\n1-2-3 관 공사 본문\n\n끝"
+    assert reflow_text("재료를 쓴다. ① 첫째  것 ② 둘째\n[주] 셋째") == "재료를 쓴다.\n① 첫째 것 ② 둘째\n\n[주] 셋째"
+    assert reflow_text("앞 글\n토목부문\n뒤 글", ("토목부문",)) == "앞 글\n\n토목부문\n뒤 글"
+    assert reflow_text("가" * 90 + "\n나비") == "가" * 90 + "\n나비"
+    assert reflow_text("관을 자른\n다\n한다") == "관을 자른다한다"
 
 
 def test_detection(spark):
@@ -176,6 +181,13 @@ def test_metadata(spark):
     assert m.notes == ["첫째", "둘째"]
     assert [(c.type, c.rate) for c in m.conditions] == [("가산", "20%"), ("할증", "15%")]
     assert [(r.target, r.chapter) for r in m.references] == [("6-1-1", "6")]
+    m = one(spark, "[주]\n① 하나\n이어서\n\n② 둘\n\n본문 (m당) ('98, '24년 보완)\n[주]\n셋\n1-2 다음 절\n1-3항 준용, 2-4 표", metadata.section_text)
+    assert m.notes == ["하나\n이어서", "둘", "셋"] and "본문" in m.clean_text and "다음 절" in m.clean_text
+    assert [(r.target, r.chapter) for r in m.references] == [("1-3", "")] and (m.revision_year, m.unit_basis) == (2024, "m당")
+    many = one(spark, "야간인 경우 본 품의 20% 가산 주간일 때 시공량의 5% 감한다\n8% 할증", metadata.conditions)
+    assert [(c.type, c.condition, c.rate) for c in many] == [("가산", "야간인 경우", "20%"), ("감산", "주간일 때", "5%"), ("할증", "야간인 경우 본 품의 20% 가산 주간일 때 시공량의 5% 감한다"[-29:], "8%")]
+    empty = one(spark, None, metadata.section_text)
+    assert empty.notes is None and one(spark, "", metadata.notes) == []
     t = one(spark, "DWG NO. K-1 | REV. 0\nTITLE: PIPE\nCLIENT: A\nOWNER: B", metadata.title_block)
     assert (t.dwg_no, t.rev, t.title, t.client, t.scale) == ("K-1", "0", "PIPE", "A", None)
     c = one(spark, "제 출 처 : 한빛 貴中\n견적금액: 1,200 원정", metadata.cover)
