@@ -82,7 +82,7 @@ def bom_pipe_roundtrip(s, d):
     rows = rows.withColumn("line", F.regexp_replace(line, r"^\| \| ", "| ")).withColumn("line", F.regexp_replace("line", r" \| \|$", " |"))
     head = "| SIZE | MATL | Q'TY | WT(KG) | DESCRIPTION |\n|---|---|---|---|---|\n"
     docs = rows.groupBy("l_orderkey").agg(F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_list("line")), "\n")).alias("md"))
-    grid = docs.select("l_orderkey", T.pipe_rows(F.col("md")).alias("g")).select("l_orderkey", F.transform(F.col("g")[0], lambda h: bom.canonical_header(h)).alias("headers"), F.posexplode(F.slice("g", 2, 1_000_000)).alias("row_ord", "row"))
+    grid = docs.select("l_orderkey", T.pipe_rows(F.col("md")).alias("g")).select("l_orderkey", F.transform(F.col("g")[0], lambda h: bom.canonical_header(h)).alias("headers"), F.posexplode(F.slice("g", F.lit(2), F.size("g"))).alias("row_ord", "row"))
     m = T.row_map(F.col("headers"), F.col("row"))
     out = grid.select("l_orderkey", "row_ord", m.alias("m")).select("l_orderkey", "row_ord", F.col("m")["SIZE"].alias("size"), F.col("m")["MATERIAL"].alias("material"), F.col("m")["DESCRIPTION"].alias("description"), *[bom.lenient_number(F.col("m")[k]).alias(a) for k, a in (("QUANTITY", "qty"), ("WEIGHT", "weight"))])
     return bom.aggregate_boms(out, ["description"])
@@ -102,7 +102,7 @@ def html_roundtrip(s, d):
     t = r.groupBy(*bom.TABLE).agg(F.array_sort(F.collect_list(F.struct("row_ord", F.transform("c", lambda x: x["value"]).alias("row"), F.transform("c", lambda x: F.coalesce(x["header"], F.lit(""))).alias("h")))).alias("rows"))
     html = T.render_html(F.col("rows")[0]["h"], F.transform("rows", lambda x: x["row"]))
     back = t.select(*bom.TABLE, G.html_grid(html).alias("g"), F.transform("rows", lambda x: F.size(x["row"])).alias("w"))
-    cells = back.select(*bom.TABLE, "w", F.posexplode(F.slice("g", 2, 1_000_000)).alias("i", "row")).select(*bom.TABLE, (F.col("i") + 1).cast("long").alias("row_no"), F.posexplode(F.slice("row", F.lit(1), F.col("w")[F.col("i")])).alias("j", "value"))
+    cells = back.select(*bom.TABLE, "w", F.posexplode(F.slice("g", F.lit(2), F.size("g"))).alias("i", "row")).select(*bom.TABLE, (F.col("i") + 1).cast("long").alias("row_no"), F.posexplode(F.slice("row", F.lit(1), F.col("w")[F.col("i")])).alias("j", "value"))
     return cells.select(*bom.TABLE, "row_no", (F.col("j") + 1).cast("long").alias("col_no"), "value")
 
 

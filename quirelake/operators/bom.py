@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.functions import keywords as K
 from quirelake.functions.numbers import lenient_number
 from quirelake.functions.text import strip
+from quirelake.plans.order import bucketed_prefix_sum
 
 TABLE = ["doc_id", "section_ord", "table_ord"]
 
@@ -54,11 +55,12 @@ def aggregate_boms(rows: DataFrame, order: list[str]) -> DataFrame:
 
     Rows without size and material, or without quantity and weight, do not count.
     The description is that of the first row under `order`. The numbering sorts
-    the aggregate, which has a row a kind of part and not a row a source line.
+    within a size and sums over the sizes.
     """
     live = rows.filter(((F.col("size") != "") | (F.col("material") != "")) & ((F.col("qty") != 0) | (F.col("weight") != 0)))
     agg = live.groupBy("size", "material").agg(F.min_by("description", F.struct(*order)).alias("description"), F.round(F.sum("qty"), 2).alias("qty"), F.round(F.sum("weight"), 2).alias("weight"))
-    return agg.withColumn("item_no", F.row_number().over(Window.orderBy("size", "material")).cast("long"))
+    numbered = bucketed_prefix_sum(agg.withColumn("_one", F.lit(1)), [], F.col("size"), ["material"], "_one", "_before")
+    return numbered.withColumn("item_no", (F.col("_before") + 1).cast("long")).drop("_one", "_before")
 
 
 def line_list(cells: DataFrame, tables: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.plans.order import bucketed_last
+
 TTL_SECONDS = 30 * 24 * 3600
 
 
@@ -29,11 +31,11 @@ def expired(cache: DataFrame, now: float, ttl: int = TTL_SECONDS) -> DataFrame:
 def replay(log: DataFrame, ttl: float) -> DataFrame:
     """(key, at, op, hit) of a log of put and get operations in time order per key.
 
-    A get is a hit if the last put of its key before it is at most `ttl` old.
+    A get is a hit if the last put of its key before it is at most `ttl` old. A hot
+    key is sorted a day at a time.
     """
-    w = Window.partitionBy("key").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    put = F.last(F.when(F.col("op") == "put", F.col("at")), ignorenulls=True).over(w)
-    return log.withColumn("put_at", put).withColumn("hit", (F.col("op") == "get") & F.coalesce(F.col("at") - F.col("put_at") <= ttl, F.lit(False)))
+    puts = log.withColumn("_put", F.when(F.col("op") == "put", F.col("at")))
+    return bucketed_last(puts, ["key"], F.floor(F.col("at") / 86_400), ["at", "seq"], "_put", "put_at").drop("_put").withColumn("hit", (F.col("op") == "get") & F.coalesce(F.col("at") - F.col("put_at") <= ttl, F.lit(False)))
 
 
 def stats(replayed: DataFrame) -> DataFrame:

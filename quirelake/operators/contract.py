@@ -169,7 +169,7 @@ def split_conditions(rows: Column) -> Column:
     dropped = lambda r: F.array_join(r, " ").contains("이하 여백") | aggregate(r)
 
     def condition(r: Column) -> Column:
-        values = F.array_distinct(F.filter(T.filled(F.slice(r, 2, 1000)), lambda v: v != ""))
+        values = F.array_distinct(F.filter(T.filled(F.slice(r, F.lit(2), F.size(r))), lambda v: v != ""))
         return F.struct(label(r).alias("label"), F.try_element_at(F.filter(values, lambda v: F.length(v) < 45), F.lit(1)).alias("value"), F.try_element_at(F.filter(values, lambda v: F.length(v) >= 45), F.lit(1)).alias("note"))
 
     return F.struct(F.filter(rows, lambda r: label(r).isNull() & ~dropped(r)).alias("items"), F.transform(F.filter(rows, lambda r: label(r).isNotNull() & ~dropped(r)), condition).alias("conditions"))

@@ -44,3 +44,20 @@ def bucketed_prefix_sum(df: DataFrame, keys: list[str], bucket: Column, order: l
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_b"]]
     joined = rows.alias("l").join(totals.alias("r"), on, "left")
     return joined.select("l.*", "r._base").withColumn(out, F.col("_in") + F.col("_base")).drop("_in", "_base", "_b")
+
+
+def bucketed_last(df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: str, out: str) -> DataFrame:
+    """`out` = the last non-null `value` up to and with this row under `order` within `keys`.
+
+    The same two levels: rows are sorted inside a bucket, over the buckets only
+    the last value of each is carried on.
+    """
+    rows = df.withColumn("_b", bucket)
+    inner = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_in", F.last(value, ignorenulls=True).over(inner))
+    last = rows.groupBy(*keys, "_b").agg(F.max_by(F.struct(value), F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_last"))
+    across = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.withColumn("_carry", F.last(f"_last.{value}", ignorenulls=True).over(across)).select(*keys, "_b", "_carry")
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_b"]]
+    joined = rows.alias("l").join(last.alias("r"), on, "left")
+    return joined.select("l.*", "r._carry").withColumn(out, F.coalesce("_in", "_carry")).drop("_in", "_carry", "_b")

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quirelake.plans.order import bucketed_last
 from quirelake.operators.bom import TABLE
 
 _CONTENT = '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{sheets}</Types>'
@@ -156,8 +157,8 @@ def run_summary(manifest: DataFrame) -> DataFrame:
 
 def parse_report(lines: DataFrame) -> DataFrame:
     """(heading, key, value) of `- key: value` lines under their `## heading`; the last of a key wins."""
-    w = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    t = lines.withColumn("heading", F.last(F.when(F.col("line").startswith("## "), F.trim(F.substring("line", 4, 1000))), ignorenulls=True).over(w))
+    mark = F.when(F.col("line").startswith("## "), F.trim(F.substr("line", F.lit(4))))
+    t = bucketed_last(lines.withColumn("_h", mark), [], F.floor(F.col("line_no") / 10_000), ["line_no"], "_h", "heading")
     t = t.filter(F.col("line").rlike(r"^- [^:]+:")).select("line_no", "heading", F.trim(F.regexp_extract("line", r"^- ([^:]+):", 1)).alias("key"), F.trim(F.regexp_extract("line", r"^- [^:]+:(.*)$", 1)).alias("value"))
     return t.groupBy("heading", "key").agg(F.max_by("value", "line_no").alias("value"))
 
