@@ -304,3 +304,27 @@ def test_retrieval_is_complete(spark):
     q = spark.createDataFrame(pd.DataFrame({"word": queries, "n": [1] * len(queries)}))
     got = {(r.word, r.cand) for r in scans.retrieve(v, q).collect()}
     assert {(a, b) for a in queries for b in vocab if a != b and osa(a, b) <= 1} <= got
+
+
+def test_misread_furniture_is_complete(spark):
+    rng = random.Random(5)
+    known = ["tank yard spec | rev.#", "한빛 플랜트 시방서 제#판", "uncontrolled copy", "the piping class index"]
+    near = []
+    for k in known:
+        for _ in range(120):
+            i = rng.randrange(len(k))
+            near.append(k[:i] + rng.choice(["", "x", "rn", "m", "강", "ni"]) + k[i + rng.randint(0, 2) :])
+    near = sorted(set(near) - set(known))
+    want = set()
+    for k in known:
+        trie = scans.Trie()
+        trie.add(jamo(k), k)
+        want |= {x for x in near if len(x) >= 8 and any(True for _ in trie.within(Automaton(jamo(x), 1, scans.MERGES)))}
+    lines = spark.createDataFrame([("text", i, k) for i, k in enumerate(known + near)], "kind string, kh bigint, key string")
+    got = {r.key for r in scans.misread_furniture(lines, lines.filter(F.col("kh") < len(known))).collect()}
+    assert len(want) > 100 and got == want
+
+
+@pytest.mark.parametrize("token", ["word", "(word)", "-", "", "'a-b'.", "①관", "½.", "가.나"])
+def test_bare_token(token):
+    assert scans.bare(token) == token.strip("()-'.")
