@@ -34,6 +34,8 @@ PAGE = ["place", "doc_id", "ord_no"]
 RATIO = 10
 #: Occurrences that make a word part of the vocabulary.
 KNOWN = 3
+#: Share of a word's places at which a candidate must have been seen with a neighbour.
+SHARED = 0.1
 #: Piece rows of vocabulary and queries that meet in one bucket.
 BUCKET_ROWS = 40_000
 # Letters as written and as a scanner reads them.
@@ -279,14 +281,19 @@ def rank_in_context(seen: DataFrame, pairs: DataFrame) -> DataFrame:
     """`seen` with one candidate a place: most pairs with its neighbours, then most frequent.
 
     `seen` has the place, before, after, cand and cand_n; `pairs` (word, after) are
-    counted over all tokens, but only those that some candidate would form.
+    counted over all tokens, but only those that some candidate would form. A word
+    of KNOWN places that hardly ever stands between the neighbours of a candidate
+    (less than SHARED of its places) is a word of its own and no misreading of it.
     """
     key = [*PAGE, "line_no", "pos"]
     asked = seen.select(*key, "cand", F.explode(F.array(F.struct(F.col("before").alias("word"), F.col("cand").alias("after")), F.struct(F.col("cand").alias("word"), "after"))).alias("x")).select(*key, "cand", "x.*").filter("word is not null and after is not null")
     need = cut(asked.select("word", "after").distinct())
     have = pairs.join(broadcast_if_small(need, 4 * BROADCAST_ROWS), ["word", "after"], "left_semi").groupBy("word", "after").agg(F.count(F.lit(1)).alias("c"))
     score = asked.join(have, ["word", "after"]).groupBy(*key, "cand").agg(F.sum("c").alias("c"))
-    best = seen.join(score, [*key, "cand"], "left").groupBy(*key, "word").agg(F.max(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "cand_n", "cand")).alias("b"))
+    scored = cut(seen.select(*key, "word", "cand", "cand_n").join(score, [*key, "cand"], "left"))
+    own = scored.groupBy("word", "cand").agg(F.count(F.lit(1)).alias("n"), F.count("c").alias("k")).filter((F.col("n") >= KNOWN) & (F.col("k") < SHARED * F.col("n"))).select("word", "cand")
+    scored = scored.join(broadcast_if_small(own), ["word", "cand"], "left_anti")
+    best = scored.groupBy(*key, "word").agg(F.max(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "cand_n", "cand")).alias("b"))
     return best.select(*key, "word", F.col("b.cand").alias("right"))
 
 

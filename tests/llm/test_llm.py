@@ -328,3 +328,12 @@ def test_misread_furniture_is_complete(spark):
 @pytest.mark.parametrize("token", ["word", "(word)", "-", "", "'a-b'.", "①관", "½.", "가.나"])
 def test_bare_token(token):
     assert scans.bare(token) == token.strip("()-'.")
+
+
+def test_a_word_of_its_own_is_no_misreading(spark):
+    place = lambda i: ("page", f"D{i}", 1, 1, 0)
+    seen = [(*place(i), "go", "crews", "home", "to", 500) for i in range(5)] + [(*place(i), "tray5", "cable", "and", "trays", 90) for i in range(10, 15)] + [(*place(20), "tbe", "x", "y", "the", 70)]
+    df = spark.createDataFrame(seen, "place string, doc_id string, ord_no int, line_no int, pos int, word string, before string, after string, cand string, cand_n long")
+    pairs = spark.createDataFrame([("cable", "trays"), ("up", "to")], "word string, after string")
+    got = {(r.word, r.right) for r in scans.rank_in_context(df, pairs).collect()}
+    assert got == {("tray5", "trays"), ("tbe", "the")}
