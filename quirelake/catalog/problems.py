@@ -13,6 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "p1_found": lambda s, d: drift.schema_changes(table(s, d, "export_files")).select("file_id", "table_id", "change", "old_header", "new_header"),
+    "p1_changes": lambda s, d: drift.field_changes(table(s, d, "export_files")),
     "p1_unified": lambda s, d: drift.unified_rows(table(s, d, "export_files")),
     "p3_found": lambda s, d: rolling.usage_bursts(table(s, d, "usage_events")),
     "p3_rolling": lambda s, d: rolling.usage_rolling(table(s, d, "usage_events")),

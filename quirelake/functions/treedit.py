@@ -89,9 +89,11 @@ def assign(cost: list[list[float]]) -> list[int]:
     return row
 
 
-def compare(a: Node, b: Node, path_a: tuple[str, ...] = (), path_b: tuple[str, ...] = ()) -> tuple[float, list[Edit]]:
+def compare(a: Node, b: Node, path_a: tuple[str, ...] = (), path_b: tuple[str, ...] = (), mapped: list[tuple] | None = None) -> tuple[float, list[Edit]]:
     """Cost and script that turn the children of `a` into those of `b`, `a` mapped to `b`.
 
+    `mapped` collects the (old, new) paths of all nodes that the script keeps.
+
     Children of one label are mapped to each other before the rest is assigned:
     that costs at most a retype, which no other mapping undercuts.
     """
@@ -140,7 +142,9 @@ def compare(a: Node, b: Node, path_a: tuple[str, ...] = (), path_b: tuple[str, .
             script.append(Edit("rename", old, new))
         elif x.kinds and y.kinds and x.kinds != y.kinds:
             script.append(Edit("retype", old, new))
-        c, s = compare(x, y, old, new)
+        if mapped is not None:
+            mapped.append((old, new))
+        c, s = compare(x, y, old, new, mapped)
         total += c
         script += s
     for x in deleted:
@@ -152,26 +156,49 @@ def compare(a: Node, b: Node, path_a: tuple[str, ...] = (), path_b: tuple[str, .
     return total, script
 
 
-def edit_script(a: Node, b: Node) -> tuple[float, list[Edit]]:
+def at_path(root: Node, path: tuple[str, ...]) -> Node:
+    for label in path:
+        root = next(c for c in root.children if c.label == label)
+    return root
+
+
+def is_moved(a: Node, b: Node) -> bool:
+    """Whether `b` under another parent is `a`: label and kinds are the same and its values carry on."""
+    return a.label == b.label and a.kinds == b.kinds and (carried(a, b) >= 0.5 or not (a.values or b.values))
+
+
+def edit_script(a: Node, b: Node, mapped: list[tuple] | None = None) -> tuple[float, list[Edit]]:
     """Minimum-cost script from schema `a` to `b`, with moves.
 
-    A node deleted under one parent and added under another one with its label
-    and kinds is a move: one unit instead of two.
+    A node deleted under one parent whose like is added under another one is a
+    move: one unit instead of two. Subtrees are looked through, so a node inside
+    of an added or deleted one may have moved too.
     """
-    cost, script = compare(a, b)
-    gone = {}
+    mapped = [] if mapped is None else mapped
+    cost, script = compare(a, b, mapped=mapped)
+    gone: dict[str, list[tuple]] = {}
     for e in script:
         if e.op == "delete":
-            gone.setdefault(e.old[-1], []).append(e)
-    out, used = [], set()
+            for path in _below(a, e.old):
+                gone.setdefault(path[-1], []).append(path)
+    moves, used = [], set()
     for e in script:
-        match = None
         if e.op == "add":
-            match = next((g for g in gone.get(e.new[-1], []) if g not in used and g.old[:-1] != e.new[:-1]), None)
-        if match:
-            used.add(match)
-            cost -= 1
-            out.append(Edit("move", match.old, e.new))
-        else:
-            out.append(e)
-    return cost, [e for e in out if e not in used]
+            for path in _below(b, e.new):
+                node = at_path(b, path)
+                old = next((g for g in gone.get(path[-1], []) if g not in used and g[:-1] != path[:-1] and is_moved(at_path(a, g), node)), None)
+                if old is not None:
+                    used.add(old)
+                    cost -= 1
+                    moves.append(Edit("move", old, path))
+                    mapped.append((old, path))
+    taken = {m.old for m in moves} | {m.new for m in moves}
+    return cost, [e for e in script if (e.old or e.new) not in taken or e.op not in ("delete", "add")] + moves
+
+
+def _below(root: Node, path: tuple[str, ...]) -> list[tuple[str, ...]]:
+    """`path` and the paths of all nodes below it."""
+    out = [path]
+    for c in at_path(root, path).children:
+        out += _below(root, (*path, c.label))
+    return out

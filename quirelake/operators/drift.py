@@ -1,9 +1,9 @@
 """Schemas that drift between the files of a series.
 
-Every file is parsed once into one compact profile row a table: its columns,
-the kinds of their non-empty values, and the 64-bit hashes of those values. A
-profile is joined with that of the same table in the series' preceding file and
-one tree edit script is computed a pair. Only (series, date, id) rows are ever
+Every file is parsed once into one compact profile row a table: its columns and
+the fields of the objects and lists in them, the kinds of their non-empty values,
+and the 64-bit hashes of those values. A profile is joined with that of the same
+table in the series' preceding file and one tree edit script is computed a pair. Only (series, date, id) rows are ever
 ordered, in month buckets, so a series that holds a third of all files is not
 sorted in one task.
 """
@@ -23,9 +23,14 @@ from quirelake.functions.treedit import Node, edit_script
 from quirelake.plans.lineage import cut
 from quirelake.plans.order import bucketed_lag
 
-COLUMN = "struct<header: string, kinds: array<string>, hashes: array<bigint>>"
-PROFILE = f"file_id bigint, table_id string, cols array<{COLUMN}>"
-CELL = "file_id bigint, table_id string, row_ord int, header string, value string"
+COLUMN = "struct<path: array<string>, kinds: array<string>, hashes: array<bigint>>"
+PROFILE = f"file_id bigint, table_id string, occurrence int, cols array<{COLUMN}>"
+CELL = "file_id bigint, table_id string, occurrence int, row_ord int, header string, value string"
+SCRIPT = "file_id bigint, series string, table_id string, change string, old_path array<string>, new_path array<string>"
+#: The path step of a list's items.
+ITEMS = "[]"
+#: Steps of a path; what lies deeper is one value.
+DEEPEST = 100
 
 
 def _hash(value) -> int:
@@ -40,60 +45,99 @@ def _hash(value) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
+def _visit(path: tuple[str, ...], value, at: dict[tuple, dict]) -> None:
+    c = at.setdefault(path, {"path": path, "kinds": set(), "hashes": []})
+    if pl.is_empty(value):
+        return
+    c["kinds"].add(pl.kind_of(value))
+    c["hashes"].append(_hash(value))
+    if len(path) < DEEPEST:
+        if isinstance(value, dict):
+            for k, v in value.items():
+                _visit((*path, k), v, at)
+        elif isinstance(value, list):
+            for v in value:
+                _visit((*path, ITEMS), v, at)
+
+
 def profile_columns(headers: list, rows: list) -> list[dict]:
-    """Columns in order of first appearance; a repeated header is one column."""
-    at: dict[str, dict] = {}
+    """Columns and the fields nested in them, in order of first appearance; a repeated header is one column."""
+    at: dict[tuple, dict] = {}
     for i, h in enumerate(headers):
         h = pl.text_of(h)
         if h is None:
             continue
-        c = at.setdefault(h, {"header": h, "kinds": set(), "hashes": []})
+        at.setdefault((h,), {"path": (h,), "kinds": set(), "hashes": []})
         for r in rows:
             v = r.get(h) if isinstance(r, dict) else (r[i] if isinstance(r, list) and i < len(r) else None)
             if not pl.is_empty(v):
-                c["kinds"].add(pl.kind_of(v))
-                c["hashes"].append(_hash(v))
-    return [{"header": c["header"], "kinds": sorted(c["kinds"]), "hashes": c["hashes"]} for c in at.values()]
+                _visit((h,), v, at)
+    return [{"path": list(c["path"]), "kinds": sorted(c["kinds"]), "hashes": c["hashes"]} for c in at.values()]
+
+
+def _tables(payload: str | None) -> Iterator[tuple[str | None, int, dict]]:
+    """(table_id, how many tables of that id stand before it, table) of a payload."""
+    seen: Counter = Counter()
+    for s in pl.parse_sections(payload) or []:
+        for t in pl.section_tables(s):
+            if isinstance(t, dict):
+                name = pl.text_of(t.get("table_id"))
+                yield name, seen[name], t
+                seen[name] += 1
 
 
 def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for fid, text in zip(pdf["file_id"], pdf["payload"]):
-            for s in pl.parse_sections(text) or []:
-                for t in pl.section_tables(s):
-                    if isinstance(t, dict):
-                        headers, rows = pl.table_grid(t)
-                        out.append((fid, pl.text_of(t.get("table_id")), profile_columns(headers, rows)))
-        yield pd.DataFrame(out, columns=["file_id", "table_id", "cols"])
+            for name, k, t in _tables(text):
+                out.append((fid, name, k, profile_columns(*pl.table_grid(t))))
+        yield pd.DataFrame(out, columns=["file_id", "table_id", "occurrence", "cols"])
+
+
+def column_key(path: tuple[str, ...]) -> str:
+    """A header as it stands; a nested field as /header/field, slashes inside of a step as ~1."""
+    escaped = [p.replace("~", "~0").replace("/", "~1") for p in path]
+    return "/" + "/".join(escaped) if len(path) > 1 else escaped[0] if path[0][:1] in ("/", "~") else path[0]
+
+
+def _leaves(path: tuple[str, ...], value) -> Iterator[tuple[str, str]]:
+    """(column key, text) of the non-empty fields of a cell; a list is one value."""
+    if isinstance(value, dict) and value and len(path) < DEEPEST:
+        for k, v in value.items():
+            yield from _leaves((*path, k), v)
+    elif not pl.is_empty(value):
+        yield column_key(path), pl.text_of(value)
 
 
 def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for fid, text in zip(pdf["file_id"], pdf["payload"]):
-            for s in pl.parse_sections(text) or []:
-                for t in pl.section_tables(s):
-                    headers, rows = pl.table_grid(t)
-                    names = [pl.text_of(h) for h in headers]
-                    for k, r in enumerate(rows):
-                        items = r.items() if isinstance(r, dict) else zip(names, r) if isinstance(r, list) else ()
-                        for h, v in items:
-                            if h is not None and not pl.is_empty(v):
-                                out.append((fid, pl.text_of(t.get("table_id")), k, h, pl.text_of(v)))
-        yield pd.DataFrame(out, columns=["file_id", "table_id", "row_ord", "header", "value"])
+            for name, n, t in _tables(text):
+                headers, rows = pl.table_grid(t)
+                names = [pl.text_of(h) for h in headers]
+                for k, r in enumerate(rows):
+                    if isinstance(r, dict):
+                        items = ((h, v) for h, v in r.items())
+                    else:
+                        # a cell without a header goes by its position
+                        items = (((names[i] if i < len(names) else None) or f"/{i}", v) for i, v in enumerate(r)) if isinstance(r, list) else ()
+                    out += [(fid, name, n, k, key, x) for h, v in items for key, x in _leaves((h,), v)]
+        yield pd.DataFrame(out, columns=["file_id", "table_id", "occurrence", "row_ord", "header", "value"])
 
 
 def table_profiles(files: DataFrame) -> DataFrame:
-    """(file_id, table_id, cols), each table once.
+    """(file_id, table_id, occurrence, cols), each table once.
 
     Rows without a file_id are left out; an unreadable payload, or a table
-    without table_id, gives no profile. A table_id twice in one file: the
-    profile with more columns stands.
+    without table_id, gives no profile. Tables of one id in one file are told
+    apart by `occurrence`, their order from 0. Of rows of one file_id that differ
+    the profile with more columns stands.
     """
     p = files.filter("file_id is not null").select("file_id", "payload").mapInPandas(_profiles, PROFILE)
     p = p.filter("table_id is not null")
-    return p.groupBy("file_id", "table_id").agg(F.max_by("cols", F.struct(F.size("cols"), F.xxhash64("cols"))).alias("cols"))
+    return p.groupBy("file_id", "table_id", "occurrence").agg(F.max_by("cols", F.struct(F.size("cols"), F.xxhash64("cols"))).alias("cols"))
 
 
 def file_sequence(files: DataFrame) -> DataFrame:
@@ -103,25 +147,38 @@ def file_sequence(files: DataFrame) -> DataFrame:
 
 
 def _tree(cols) -> Node:
-    return Node("table", children=[Node(c["header"], frozenset(c["kinds"]), Counter(list(c["hashes"]))) for c in cols])
+    root = Node("table")
+    at = {(): root}
+    for c in sorted(cols, key=lambda c: len(c["path"])):
+        path = tuple(c["path"])
+        at[path] = Node(path[-1], frozenset(c["kinds"]), Counter(list(c["hashes"])))
+        at[path[:-1]].children.append(at[path])
+    return root
 
 
-def table_edits(old, new) -> list[tuple[str, str, str]]:
-    """(change, old header, new header) between two column lists."""
-    names = {"add": "added", "delete": "removed", "rename": "renamed", "retype": "retyped"}
-    return [(names[e.op], e.old[-1] if e.old else "", e.new[-1] if e.new else "") for e in edit_script(_tree(old), _tree(new))[1]]
+def table_script(old, new) -> list[tuple[str, tuple[str, ...], tuple[str, ...]]]:
+    """(change, old path, new path) between two column lists.
+
+    Besides added, removed, renamed, retyped and moved there is `kept` for a field
+    whose path differs because something above it was renamed.
+    """
+    names = {"add": "added", "delete": "removed", "rename": "renamed", "retype": "retyped", "move": "moved"}
+    mapped: list[tuple] = []
+    script = [(names[e.op], e.old, e.new) for e in edit_script(_tree(old), _tree(new), mapped)[1]]
+    told = {(a, b) for _, a, b in script}
+    return script + [("kept", a, b) for a, b in mapped if a != b and (a, b) not in told]
 
 
 def _scripts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for row in pdf.itertuples(index=False):
-            out += [(row.file_id, row.series, row.table_id, *e) for e in table_edits(row.old_cols, row.cols)]
-        yield pd.DataFrame(out, columns=["file_id", "series", "table_id", "change", "old_header", "new_header"])
+            out += [(row.file_id, row.series, row.table_id, c, list(a), list(b)) for c, a, b in table_script(row.old_cols, row.cols)]
+        yield pd.DataFrame(out, columns=["file_id", "series", "table_id", "change", "old_path", "new_path"])
 
 
-def schema_changes(files: DataFrame) -> DataFrame:
-    """(file_id, series, table_id, change, old_header, new_header) of each later file.
+def schema_scripts(files: DataFrame) -> DataFrame:
+    """(file_id, series, table_id, change, old_path, new_path) of each later file, nested fields too.
 
     A table that the preceding file lacks is compared with nothing. Files
     without a series or date have no place in the order. An empty input gives
@@ -130,26 +187,49 @@ def schema_changes(files: DataFrame) -> DataFrame:
     prof = cut(table_profiles(files))
     seq = file_sequence(files)
     new = prof.join(seq.filter("prev_file_id is not null").select("file_id", "series", "prev_file_id"), "file_id")
-    old = prof.select(F.col("file_id").alias("prev_file_id"), "table_id", F.col("cols").alias("old_cols"))
-    names = lambda c: F.array_sort(F.transform(c, lambda x: F.struct(x["header"], x["kinds"])))
-    pairs = new.join(old, ["prev_file_id", "table_id"]).filter(names("cols") != names("old_cols"))
-    return pairs.select("file_id", "series", "table_id", "cols", "old_cols").mapInPandas(_scripts, "file_id bigint, series string, table_id string, change string, old_header string, new_header string")
+    old = prof.select(F.col("file_id").alias("prev_file_id"), "table_id", "occurrence", F.col("cols").alias("old_cols"))
+    names = lambda c: F.array_sort(F.transform(c, lambda x: F.struct(x["path"], x["kinds"])))
+    pairs = new.join(old, ["prev_file_id", "table_id", "occurrence"]).filter(names("cols") != names("old_cols"))
+    return pairs.select("file_id", "series", "table_id", "cols", "old_cols").mapInPandas(_scripts, SCRIPT)
+
+
+def schema_changes(files: DataFrame) -> DataFrame:
+    """(file_id, series, table_id, change, old_header, new_header): the changes of the headers.
+
+    A header that moved into or out of a nested object is removed or added.
+    """
+    at = lambda p: F.when(F.size(p) == 1, F.col(p)[0]).otherwise("")
+    top = schema_scripts(files).filter("change <> 'kept' and (size(old_path) = 1 or size(new_path) = 1)")
+    change = F.when((F.col("change") == "moved"), F.when(F.size("old_path") == 1, "removed").otherwise("added")).otherwise(F.col("change"))
+    return top.select("file_id", "series", "table_id", change.alias("change"), at("old_path").alias("old_header"), at("new_path").alias("new_header"))
+
+
+def field_changes(files: DataFrame) -> DataFrame:
+    """(file_id, series, table_id, change, old_field, new_field) of headers and nested fields, moves too.
+
+    A field is given by its path, the steps joined with ` > `; items of a list
+    are the step `[]`.
+    """
+    s = schema_scripts(files).filter("change <> 'kept'")
+    return s.select("file_id", "series", "table_id", "change", F.array_join("old_path", " > ").alias("old_field"), F.array_join("new_path", " > ").alias("new_field"))
 
 
-def column_names(changes: DataFrame, rounds: int = 20) -> DataFrame:
-    """(series, table_id, header, column): one name for all headers tied by renames.
+def column_names(scripts: DataFrame) -> DataFrame:
+    """(series, table_id, header, column): one name for all columns and nested fields tied by renames and moves.
 
     The edges of one table's headers are few (distinct names, not files), but a
     chain of renames may be long: labels are lowered by pointer doubling until
     they no longer change, with lineage cut every round. The least header of a
     chain is its name.
     """
-    e = changes.filter("change = 'renamed'").select("series", "table_id", F.col("old_header").alias("a"), F.col("new_header").alias("b"))
+    esc = lambda x: F.replace(F.replace(x, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+    key_of = lambda p: F.when(F.size(p) > 1, F.concat(F.lit("/"), F.array_join(F.transform(p, esc), "/"))).when(F.col(p)[0].rlike("^[/~]"), esc(F.col(p)[0])).otherwise(F.col(p)[0])
+    e = scripts.filter("change in ('renamed', 'moved', 'kept')").filter(~F.array_contains("old_path", ITEMS) & ~F.array_contains("new_path", ITEMS)).select("series", "table_id", key_of("old_path").alias("a"), key_of("new_path").alias("b"))
     e = e.unionByName(e.select("series", "table_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     key = ["series", "table_id"]
     e = cut(e)
     label = cut(e.select(*key, "a").distinct().withColumn("l", F.col("a")))
-    for _ in range(rounds):
+    while True:
         near = e.join(label.withColumnRenamed("a", "b"), [*key, "b"]).groupBy(*key, "a").agg(F.min("l").alias("n"))
         step = label.join(near, [*key, "a"], "left").select(*key, "a", "l", F.least("l", "n").alias("m"))
         via = step.select(*key, F.col("a").alias("m"), F.col("m").alias("mm"))
@@ -163,22 +243,23 @@ def column_names(changes: DataFrame, rounds: int = 20) -> DataFrame:
 def unified_rows(files: DataFrame) -> DataFrame:
     """All cells of all files under one consistent set of columns a table.
 
-    (series, table_id, file_id, export_date, row_ord, column, header, value):
-    the rename scripts compiled into one projection header -> column, applied to
-    every file; empty cells are left out. Two headers of one row that lead to
-    one column keep their own names.
+    (series, table_id, file_id, occurrence, export_date, row_ord, column, header, value):
+    the scripts compiled into one projection header -> column, applied to every
+    file; empty cells are left out. Fields of objects are columns of their own
+    (see column_key), lists are JSON text, cells beyond the headers go by their
+    position (/15). Two headers of one row that lead to one column keep their own names.
     """
     cells = files.filter("file_id is not null").select("file_id", "payload").mapInPandas(_cells, CELL).filter("table_id is not null").distinct()
     seq = files.filter("file_id is not null").select("file_id", "series", "export_date").distinct()
-    names = column_names(schema_changes(files))
+    names = column_names(cut(schema_scripts(files)))
     rows = cells.join(seq, "file_id").join(names, ["series", "table_id", "header"], "left").withColumn("column", F.coalesce("column", "header"))
-    own = ["file_id", "table_id", "row_ord"]
+    own = ["file_id", "table_id", "occurrence", "row_ord"]
     clash = rows.groupBy(*own, "column").agg(F.count_distinct("header").alias("_n")).filter("_n > 1").select(*own, "column", F.lit(True).alias("_clash"))
     rows = rows.join(clash, [*own, "column"], "left")
-    return rows.select("series", "table_id", "file_id", "export_date", "row_ord", F.when(F.col("_clash"), F.col("header")).otherwise(F.col("column")).alias("column"), "header", "value")
+    return rows.select("series", "table_id", "file_id", "occurrence", "export_date", "row_ord", F.when(F.col("_clash"), F.col("header")).otherwise(F.col("column")).alias("column"), "header", "value")
 
 
 def projected(cells: DataFrame, columns: list[str]) -> DataFrame:
     """The unified cells of one table as a wide table with the given columns."""
-    keys = ["series", "table_id", "file_id", "export_date", "row_ord"]
+    keys = ["series", "table_id", "file_id", "occurrence", "export_date", "row_ord"]
     return cells.groupBy(*keys).pivot("column", columns).agg(F.max("value"))

@@ -83,6 +83,38 @@ def test_unified_rows_follow_renames(spark):
     assert {(r.file_id, r.A, r.K) for r in wide} == {(f, v, k) for f in (1, 2, 3) for v, k in (("1", "x"), ("2", "y"))}
 
 
+def cell_docs():
+    """Three files: a field renamed inside an object, the object renamed, a field moved out to a column."""
+    a = doc(tab(["A", "P"], [["x", {"unit": "m", "value": 1}], ["y", {"unit": "kg", "value": 2}], ["z", {"unit": "t", "value": 3}]]))
+    b = doc(tab(["A", "P"], [["x", {"uom": "m", "value": 1}], ["y", {"uom": "kg", "value": 2}], ["z", {"uom": "t", "value": 3}]]))
+    c = doc(tab(["A", "Q"], [["x", {"uom": "m", "value": 1}], ["y", {"uom": "kg", "value": 2}], ["z", {"uom": "t", "value": 3}]]))
+    d = doc(tab(["A", "Q", "uom"], [["x", {"value": 1}, "m"], ["y", {"value": 2}, "kg"], ["z", {"value": 3}, "t"]]))
+    return [(i + 1, "s", f"2025-0{i + 1}-01", x) for i, x in enumerate((a, b, c, d))]
+
+
+def test_nested_renames_and_moves(spark):
+    f = files(spark, cell_docs())
+    got = {(r.file_id, r.change, r.old_field, r.new_field) for r in drift.field_changes(f).collect()}
+    assert got == {(2, "renamed", "P > unit", "P > uom"), (3, "renamed", "P", "Q"), (4, "moved", "Q > uom", "uom")}
+    assert changes(spark, cell_docs()) == {(3, "T", "renamed", "P", "Q"), (4, "T", "added", "", "uom")}
+    u = drift.unified_rows(f).collect()
+    assert {r.column for r in u if r.value in ("m", "kg", "t")} == {"/P/unit"} and {r.column for r in u if r.value == "3"} == {"/P/value"}
+    assert len(u) == 4 * 9
+
+
+def test_tables_of_one_id_and_cells_beyond_headers(spark):
+    two = doc(tab(["A"], [[1]]), tab(["B"], [[2]]), {"table_id": "T", "headers": ["/x", "y/z"], "rows": [["p", {"q": [1]}, "more", {"k": 5}]]})
+    u = drift.unified_rows(files(spark, [(1, "s", "2025-01-01", two), (1, "s", "2025-01-01", two)])).collect()
+    assert {(r.occurrence, r.column, r.value) for r in u} == {(0, "A", "1"), (1, "B", "2"), (2, "~1x", "p"), (2, "/y~1z/q", "[1]"), (2, "~12", "more"), (2, "/~13/k", "5")}
+    assert changes(spark, [(1, "s", "2025-01-01", two), (2, "s", "2025-02-01", two)]) == set()
+
+
+def test_long_chain_of_renames(spark):
+    rows = [(i, "s", f"2025-{i // 28 + 1:02d}-{i % 28 + 1:02d}", doc(tab([f"H{i:02d}"], [[7], [8]]))) for i in range(70)]
+    u = drift.unified_rows(files(spark, rows)).collect()
+    assert {r.column for r in u} == {"H00"} and len(u) == 140
+
+
 EVENT = "id bigint, timestamp string, job_id string, engine string, total_tokens bigint, estimated_cost_usd double, entity string"
 
 
