@@ -28,41 +28,60 @@ from quirelake.functions import payload as pl
 from quirelake.plans.lineage import cut
 
 RECORD = "what string, file_id bigint, hash binary, parent binary, role string, ord int, text string, body string"
+#: Bridges that lead from a file to its rows and warnings.
+LINKS = frozenset({"section", "table", "quality", "row", "warning"})
 #: Identities remembered a task to leave out records that the task has already given.
 SEEN = 200_000
 #: Levels below an owner that are stored as nodes of their own; what lies deeper is one text in its node.
 DEEPEST = 100
 
 
-def digest(kind: str, own: str, children: list[tuple[str, int, bytes]]) -> bytes:
+#: (role, ordinal, identity, text of the child if it is asked for by its parent)
+Child = tuple[str, int, bytes, str | None]
+
+
+def digest(kind: str, own: str, children: list[Child]) -> bytes:
     """Identity of a node: its kind, its own content, and its children in order."""
-    h = hashlib.blake2b(kind.encode() + b"\x00" + own.encode("utf-8", "surrogatepass"), digest_size=16)
-    for role, i, child in children:
-        h.update(f"\x00{role}\x00{i}\x00".encode() + child)
-    return h.digest()
+    parts = [kind.encode(), own.encode("utf-8", "surrogatepass")]
+    for role, i, child, _ in children:
+        parts.append(b"%s\x00%d\x00%s" % (role.encode(), i, child))
+    return hashlib.blake2b(b"\x00".join(parts), digest_size=16).digest()
 
 
 class _Store:
-    """Collects the records of one payload; a subtree already given is not given again."""
+    """Collects the records of one payload; a subtree already given is not given again.
+
+    With `roles` only bridges of these roles are given, and no nodes; the
+    identities are the same.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, roles: frozenset[str] | None = None) -> None:
         self.out: list[tuple] = []
         self.seen: set[bytes] = set()
+        self.cells: dict[tuple, bytes] = {}
+        self.roles = roles
 
-    def node(self, kind: str, text: str | None, body: str, children: list[tuple[str, int, bytes]]) -> bytes:
+    def node(self, kind: str, text: str | None, body: str, children: list[Child]) -> bytes:
         # `text` is derived from the children or the body of the node
         h = digest(kind, body, children)
         if h not in self.seen:
             self.seen.add(h)
-            self.out.append(("node", None, h, None, kind, None, text, body))
-            self.out += [("edge", None, c, h, role, i, None, None) for role, i, c in children]
+            if self.roles is None:
+                self.out.append(("node", None, h, None, kind, None, text, body))
+                self.out += [("edge", None, c, h, role, i, t, None) for role, i, c, t in children]
+            else:
+                self.out += [("edge", None, c, h, role, i, t, None) for role, i, c, t in children if role in self.roles]
         return h
 
-    def members(self, d: dict, skip: tuple[str, ...] = (), depth: int = 0) -> tuple[list, list[tuple[str, int, bytes]]]:
+    def forget(self) -> None:
+        self.seen.clear()
+        self.cells.clear()
+
+    def members(self, d: dict, skip: tuple[str, ...] = (), depth: int = 0) -> tuple[list, list[Child]]:
         """[scalars, keys of nested members] of an object, and the bridges to the nested members."""
         inner = sorted(k for k, v in d.items() if k not in skip and isinstance(v, (dict, list)))
         own = {k: v for k, v in d.items() if k not in skip and not isinstance(v, (dict, list))}
-        return [own, inner], [("member", i, self.value(d[k], depth=depth + 1)) for i, k in enumerate(inner)]
+        return [own, inner], [("member", i, self.value(d[k], depth=depth + 1), None) for i, k in enumerate(inner)]
 
     def value(self, v: Any, kind: str | None = None, text: str | None = None, depth: int = 0) -> bytes:
         """A node of any JSON value; `kind` is object, list or scalar if not given."""
@@ -72,14 +91,18 @@ class _Store:
             own, kids = self.members(v, depth=depth)
             return self.node(kind or "object", text, pl.canonical(["object", *own]), kids)
         if isinstance(v, list):
-            kids = [("item", i, self.value(x, depth=depth + 1)) for i, x in enumerate(v)]
+            kids = [("item", i, self.value(x, depth=depth + 1), None) for i, x in enumerate(v)]
             return self.node(kind or "list", text, pl.canonical(["list"]), kids)
         return self.node(kind or "scalar", text, pl.canonical(["scalar", v]), [])
 
     def cell(self, h: str | None, v: Any) -> bytes:
         if isinstance(v, (dict, list)):
-            return self.node("cell", pl.text_of(v), pl.canonical([h]), [("value", 0, self.value(v))])
-        return self.node("cell", pl.text_of(v), pl.canonical([h, v]), [])
+            return self.node("cell", pl.text_of(v), pl.canonical([h]), [("value", 0, self.value(v), None)])
+        key = (h, type(v), repr(v) if isinstance(v, float) else v)
+        known = self.cells.get(key)
+        if known is None:
+            known = self.cells[key] = self.node("cell", pl.text_of(v), pl.canonical([h, v]), [])
+        return known
 
     def quality(self, q: Any) -> bytes:
         codes = dict(pl.warning_entries({"quality": q}))
@@ -94,7 +117,7 @@ class _Store:
         own, kids = self.members(top, ("warnings",))
         w = top.get("warnings")
         each = w if isinstance(w, list) else [w] if "warnings" in top else []
-        kids += [("warning", i, self.value(x, "warning", codes.get(i))) for i, x in enumerate(each)]
+        kids += [("warning", i, self.value(x, "warning", codes.get(i)), codes.get(i)) for i, x in enumerate(each)]
         form = "list" if isinstance(w, list) else "lone" if each else "none"
         return self.node("quality", None, pl.canonical([q if isinstance(q, str) else None, form, *own]), kids)
 
@@ -106,20 +129,21 @@ class _Store:
         own, kids = self.members(t, (*read, "quality"))
         for i, r in enumerate(rows):
             if not isinstance(r, (dict, list)):
-                kids.append(("other", i, self.value(r)))
+                kids.append(("other", i, self.value(r), None))
                 continue
             pairs = list(r.items()) if isinstance(r, dict) else list(zip_longest(names[: len(r)], r))
-            cells = [("cell", k, self.cell(h, v)) for k, (h, v) in enumerate(pairs)]
+            cells = [("cell", k, self.cell(h, v), None) for k, (h, v) in enumerate(pairs)]
             d = pl.cell(r, names, "DESCRIPTION")
-            kids.append(("row", i, self.node("row", None if pl.is_empty(d) else pl.text_of(d), "", cells)))
+            text = None if pl.is_empty(d) else pl.text_of(d)
+            kids.append(("row", i, self.node("row", text, "", cells), text))
         if "quality" in t:
-            kids.append(("quality", 0, self.quality(t["quality"])))
+            kids.append(("quality", 0, self.quality(t["quality"]), None))
         return self.node("table", pl.text_of(t.get("table_id")), pl.canonical([*own, list(read), headers]), kids)
 
     def section(self, s: dict) -> bytes:
         listed = isinstance(s.get("tables"), list)
         own, kids = self.members(s, ("tables",) if listed else ())
-        kids += [("table", i, self.table(t)) if isinstance(t, dict) else ("other", i, self.value(t)) for i, t in enumerate(pl.section_tables(s))]
+        kids += [("table", i, self.table(t), None) if isinstance(t, dict) else ("other", i, self.value(t), None) for i, t in enumerate(pl.section_tables(s))]
         return self.node("section", pl.text_of(s.get("section_id")), pl.canonical([*own, listed]), kids)
 
     def file(self, file_id: int, payload: str | None) -> None:
@@ -127,35 +151,40 @@ class _Store:
         secs = pl.sections_of(top)
         if secs is None:
             return
-        kids = [("section", i, self.section(s)) if isinstance(s, dict) else ("other", i, self.value(s)) for i, s in enumerate(secs)]
+        kids = [("section", i, self.section(s), None) if isinstance(s, dict) else ("other", i, self.value(s), None) for i, s in enumerate(secs)]
         form = "list" if isinstance(top, list) else "sections" if "sections" in top else "section"
         if form == "sections":
-            kids.append(("envelope", 0, self.value({k: v for k, v in top.items() if k != "sections"})))
+            kids.append(("envelope", 0, self.value({k: v for k, v in top.items() if k != "sections"}), None))
         self.out.append(("root", file_id, self.node("file", None, form, kids), None, None, None, None, None))
 
 
-def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    store = _Store()
-    for pdf in batches:
-        for fid, text in zip(pdf["file_id"], pdf["payload"]):
-            store.file(fid, text)
-            if len(store.seen) > SEEN:
-                store.seen.clear()
-        yield pd.DataFrame(store.out, columns=[c.split()[0] for c in RECORD.split(", ")])
-        store.out = []
+def _records(roles: frozenset[str] | None):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store = _Store(roles)
+        for pdf in batches:
+            for fid, text in zip(pdf["file_id"], pdf["payload"]):
+                store.file(fid, text)
+                if len(store.seen) > SEEN:
+                    store.forget()
+            yield pd.DataFrame(store.out, columns=[c.split()[0] for c in RECORD.split(", ")])
+            store.out = []
+
+    return run
 
 
 class MerkleStore:
     """The flat tables of one input.
 
     roots: file_id, hash. nodes: hash, kind, text, body (each object once).
-    bridges: parent, role, ord, child (each occurrence below a stored object).
+    bridges: parent, role, ord, child (each occurrence below a stored object), and
+    the text of a row or warning, so that a child that half of all tables share is
+    not looked up in one place.
     """
 
     def __init__(self, records: DataFrame) -> None:
         self.roots = records.filter("what = 'root'").select("file_id", "hash").distinct()
         self.nodes = records.filter("what = 'node'").groupBy("hash").agg(F.first("role").alias("kind"), F.first("text").alias("text"), F.first("body").alias("body"))
-        self.bridges = records.filter("what = 'edge'").select("parent", "role", "ord", F.col("hash").alias("child")).distinct()
+        self.bridges = records.filter("what = 'edge'").select("parent", "role", "ord", F.col("hash").alias("child"), "text").distinct()
 
     def step(self, at: DataFrame, hash_col: str, role: str, ord_col: str, child_col: str) -> DataFrame:
         """`at` with the occurrences below `hash_col` by `role`."""
@@ -163,13 +192,15 @@ class MerkleStore:
         return at.join(b, hash_col)
 
 
-def shred(files: DataFrame) -> MerkleStore:
+def shred(files: DataFrame, roles: frozenset[str] | None = None) -> MerkleStore:
     """Parse every payload once into the Merkle tables, kept in the checkpoint folder.
 
+    `roles` names the bridges that are wanted; then no nodes are stored.
+
     Rows without a file_id and unreadable payloads give nothing; repeated rows
     are stored once; an empty input gives empty tables.
     """
-    rec = files.filter("file_id is not null and payload is not null").select("file_id", "payload").mapInPandas(_records, RECORD)
+    rec = files.filter("file_id is not null and payload is not null").select("file_id", "payload").mapInPandas(_records(roles), RECORD)
     return MerkleStore(cut(rec))
 
 
@@ -182,13 +213,11 @@ def table_occurrences(store: MerkleStore) -> DataFrame:
 def linked_children(files: DataFrame) -> DataFrame:
     """(file_id, section_ord, table_ord, child, child_ord, child_value).
 
-    child `row` carries a non-empty DESCRIPTION, child `warning` a code. The
-    text is joined to the stored objects before occurrences are expanded.
+    child `row` carries a non-empty DESCRIPTION, child `warning` a code. Only the
+    bridges that lead there are stored.
     """
-    store = shred(files)
-    kids = store.bridges.filter("role in ('row', 'warning')").join(
-        store.nodes.filter("kind in ('row', 'warning') and text is not null").select(F.col("hash").alias("child"), "text"), "child"
-    ).select("parent", F.col("role").alias("child"), F.col("ord").alias("child_ord"), F.col("text").alias("child_value"))
+    store = shred(files, LINKS)
+    kids = store.bridges.filter("role in ('row', 'warning') and text is not null").select("parent", F.col("role").alias("child"), F.col("ord").alias("child_ord"), F.col("text").alias("child_value"))
     held = store.bridges.filter("role = 'quality'").select(F.col("parent").alias("table_hash"), F.col("child").alias("parent"))
     warned = kids.filter("child = 'warning'").join(held, "parent").select("table_hash", "child", "child_ord", "child_value")
     kids = kids.filter("child = 'row'").select(F.col("parent").alias("table_hash"), "child", "child_ord", "child_value").unionByName(warned)
