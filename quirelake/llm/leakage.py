@@ -14,8 +14,10 @@ index; documents are read once a block, in place, without a shuffle.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,10 +50,22 @@ class _Ignorable(dict):
 _DROP = _Ignorable()
 
 
+def _comparable(text: str) -> str:
+    return unicodedata.normalize("NFKC", text.translate(_DROP)).translate(_LOOKS)
+
+
+@lru_cache(maxsize=1)
+def _odd() -> np.ndarray:
+    """For each code point whether it is dropped or read as another letter; most texts have no such."""
+    odd = np.array([_comparable(c) != unicodedata.normalize("NFKC", c) for c in map(chr, range(sys.maxunicode + 1))])
+    _DROP.clear()
+    return odd
+
+
 def words(text: str) -> list[str]:
     """The runs of letters and digits of `text` in comparable form."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text.translate(_DROP)).translate(_LOOKS)
+        text = _comparable(text) if _odd()[codes_of(text)].any() else unicodedata.normalize("NFKC", text)
     return _WORD.findall(text.casefold())
 
 
@@ -73,6 +87,12 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
+#: Postings that are sorted into bands at once.
+POSTINGS = 400_000
+#: Bins, less one, in which hits are counted before they are sorted.
+BINS = (1 << 21) - 1
+
+
 class ItemIndex:
     """Postings of the q-grams of a block of items: hash -> (item, position)."""
 
@@ -113,27 +133,35 @@ class ItemIndex:
         hit = np.flatnonzero(self.unique[at] == h)
         return hit, at[hit]
 
-    def bands(self, p: np.ndarray, u: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, first diagonal of the band, from, to) of bands that meet the bound.
+    def bands(self, doc: np.ndarray, p: np.ndarray, u: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+        """(document, item, first diagonal, diagonals, from, to) of the bands that meet the bound.
 
-        A band spans 2 * width diagonals and begins at every multiple of width, so
-        some band holds all diagonals of a passage with at most `edits` edits.
+        Hits of many documents at once: document, position, place among the unique
+        hashes. A band spans 2 * width diagonals and begins at every multiple of
+        width, so some band holds all diagonals of a passage with at most `edits`
+        edits. Two bands next to each other that hold the same hits are given as one.
         """
         n = self.count[u]
         total = int(n.sum())
         if not total:
             return []
         start = np.repeat(self.first[u] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(total)
-        doc_pos, item, diag = np.repeat(p, n), self.owner[start], np.repeat(p, n) - self.pos[start]
+        docs, where, items, pos = np.repeat(doc, n), np.repeat(p, n), self.owner[start], self.pos[start]
         width = self.edits + 1
-        cell = np.floor_divide(diag, width)
-        keys = np.concatenate([cell, cell - 1])
-        items, where = np.tile(item, 2), np.tile(doc_pos, 2)
-        order = np.lexsort((where, keys, items))
-        items, keys, where = items[order], keys[order], where[order]
-        start_of = np.append(True, (items[1:] != items[:-1]) | (keys[1:] != keys[:-1]))
+        cell = np.floor_divide(where - pos, width)
+        # few hits lie in a band that can meet the bound: the rest goes before the sort (bins may be shared, which keeps more)
+        bins = (docs * np.int64(1_000_003) + items) * np.int64(7_919) + cell
+        often = np.bincount(bins & BINS, minlength=BINS + 2)
+        here = often[bins & BINS]
+        some = here + np.maximum(often[(bins + 1) & BINS], often[(bins - 1) & BINS]) >= self.bound[items]
+        docs, where, items, cell = docs[some], where[some], items[some], cell[some]
+        if not len(docs):
+            return []
+        docs, items, where, keys = np.tile(docs, 2), np.tile(items, 2), np.tile(where, 2), np.concatenate([cell, cell - 1])
+        order = np.lexsort((where, keys, items, docs))
+        docs, items, keys, where = docs[order], items[order], keys[order], where[order]
+        start_of = np.append(True, (docs[1:] != docs[:-1]) | (items[1:] != items[:-1]) | (keys[1:] != keys[:-1]))
         new, band = np.flatnonzero(start_of), np.cumsum(start_of) - 1
-        size = np.diff(np.append(new, len(items)))
         # an edit takes away at most q neighbouring q-grams, so `bound` hits of a passage lie close
         need = self.bound[items]
         at = np.arange(len(items)) + need - 1
@@ -142,50 +170,63 @@ class ItemIndex:
         ok &= (band[at] == band) & (where[at] - where <= need - 1 + (Q + 1) * self.edits)
         keep = np.zeros(len(new), dtype=bool)
         keep[band[ok]] = True
-        last = new + size - 1
-        return [(int(items[a]), int(keys[a]) * width, int(where[a]), int(where[b]) + Q) for a, b in zip(new[keep], last[keep])]
-
-    def align(self, doc: np.ndarray, item: int, low: int, a: int, b: int) -> tuple[int, int, int, int]:
-        """(exact words, words within the edit budget, from, to) in one diagonal band.
-
-        For every diagonal of the band the equal runs are found; a run is extended
-        over an edit to the same diagonal (substitution) or a neighbour (insertion,
-        deletion) as long as the budget lasts.
+        size = np.diff(np.append(new, len(items)))
+        first, last = new[keep], (new + size - 1)[keep]
+        size = size[keep]
+        out: list[tuple[int, int, int, int, int, int]] = []
+        before = None
+        for d, i, k, lo, hi, m in zip(docs[first].tolist(), items[first].tolist(), keys[first].tolist(), where[first].tolist(), where[last].tolist(), size.tolist()):
+            if before == (d, i, k - 1, lo, hi, m):
+                d0, i0, low, wide, *ends = out.pop()
+                out.append((d0, i0, low, wide + width, *ends))
+                before = None
+            else:
+                out.append((d, i, k * width, 2 * width, lo, hi + Q))
+                before = (d, i, k, lo, hi, m)
+        return out
+
+    def align(self, doc: np.ndarray, item: int, low: int, wide: int, a: int, b: int) -> tuple[int, int]:
+        """(exact words, words within the edit budget) in one diagonal band.
+
+        For every diagonal of the band the equal runs are found; all runs at once are
+        extended over an edit to the same diagonal (substitution) or a neighbour
+        (insertion, deletion) as long as the budget lasts.
         """
         it = self.texts[item]
         a, b = max(0, a - 64), min(len(doc), b + 64)
-        space = np.uint32(32)
-        lo, width = low, 2 * (self.edits + 1)
-        equal = np.zeros((width + 2, b - a + 2), dtype=bool)
-        for k in range(width):
-            d = lo + k
-            p0, p1 = max(a, d), min(b, d + len(it))
-            if p0 < p1:
-                equal[k + 1, p0 - a : p1 - a] = doc[p0:p1] == it[p0 - d : p1 - d]
-        at = np.arange(b - a + 2)
-        stop = np.minimum.accumulate(np.where(equal, b - a + 2, at)[:, ::-1], axis=1)[:, ::-1]
-        run = np.where(equal, stop - at, 0)  # length of the equal run that begins here
-        spaces = np.append(0, np.cumsum(doc[a:b] == space))
-        exact, best, span = 0, 0, (a, a)
-        starts = [(k, p) for k in range(1, width + 1) for p in np.flatnonzero(equal[k] & ~np.append(False, equal[k][:-1]))]
-        for k, p in starts:
-            end = p + int(run[k, p])
-            n = int(spaces[end] - spaces[p]) - 1
-            exact = max(exact, n)
-            front = {(k, end)}
-            reach = end
-            for _ in range(self.edits):
-                front = {(kk, pp + int(run[kk, pp])) for k2, p2 in front if p2 < b - a for kk, pp in ((k2, p2 + 1), (k2 - 1, p2), (k2 + 1, p2 + 1)) if 1 <= kk <= width and pp <= b - a}
-                reach = max([reach, *(pp for _, pp in front)])
-            m = int(spaces[min(reach, b - a)] - spaces[p]) - 1
-            if m > best:
-                best, span = m, (a + p, a + reach)
-        return exact, max(best, exact), *span
+        n = b - a
+        # one diagonal of no match on either side, one place behind the end
+        at = np.arange(a, b)[None, :] - (low + np.arange(-1, wide + 1))[:, None]
+        inside = (at >= 0) & (at < len(it))
+        inside[0] = inside[-1] = False
+        equal = np.zeros((wide + 2, n + 2), dtype=bool)
+        equal[:, :n] = inside & (it[np.where(inside, at, 0)] == doc[a:b][None, :])
+        place = np.arange(n + 2)
+        stop = np.minimum.accumulate(np.where(equal, n + 2, place)[:, ::-1], axis=1)[:, ::-1]
+        run = np.where(equal, stop - place, 0)  # length of the equal run that begins here
+        spaces = np.append(0, np.cumsum(doc[a:b] == np.uint32(32)))
+        opens = equal.copy()
+        opens[:, 1:] &= ~equal[:, :-1]
+        k, p = np.nonzero(opens)
+        if not len(k):
+            return 0, 0
+        end = p + run[k, p]
+        exact = int((spaces[np.minimum(end, n)] - spaces[p]).max()) - 1
+        reach, kk, pp = end, k[:, None], end[:, None]
+        for _ in range(self.edits):
+            kk = np.concatenate([kk, kk - 1, kk + 1], axis=1)
+            pp = np.concatenate([pp + 1, pp, pp + 1], axis=1)
+            ok = (kk >= 1) & (kk <= wide) & (pp <= n)
+            kk, pp = np.clip(kk, 0, wide + 1), np.minimum(pp, n + 1)
+            pp = np.where(ok, pp + run[kk, pp], pp)
+            reach = np.maximum(reach, np.where(ok, pp, 0).max(axis=1))
+            kk = np.where(ok, kk, 0)
+        near = int((spaces[np.minimum(reach, n)] - spaces[p]).max()) - 1
+        return max(exact, 0), max(near, exact, 0)
 
 
 def scan(batch: pd.DataFrame, index: ItemIndex) -> list[tuple]:
     """(doc_id, item_id, exact_words, near_words) of the verified pairs of a batch."""
-    out = []
     texts = [plain(t) for t in batch["text"]]
     docs = [codes_of(t) for t in texts]
     sizes = np.array([len(d) for d in docs], dtype=np.int64)
@@ -195,20 +236,22 @@ def scan(batch: pd.DataFrame, index: ItemIndex) -> list[tuple]:
     owner = np.searchsorted(starts, hit, side="right") - 1
     inside = hit + Q <= starts[owner + 1] if len(hit) else hit.astype(bool)
     hit, place, owner = hit[inside], place[inside], owner[inside]
-    cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else []
-    ends = np.append(cuts[1:], len(owner)) if len(owner) else []
     smallest = int(index.bound.min()) if len(index.bound) else 1
-    for a, b in zip(cuts, ends):
-        if b - a < smallest:
-            continue
-        i = int(owner[a])
-        best: dict[int, tuple[int, int]] = {}
-        for item, low, p, q in index.bands(hit[a:b] - starts[i], place[a:b]):
-            exact, near, _, _ = index.align(docs[i], item, low, p, q)
-            e, n = best.get(item, (0, 0))
-            best[item] = (max(e, exact), max(n, near))
-        out += [(batch["doc_id"].iat[i], index.ids[item], e, n) for item, (e, n) in best.items() if n >= index.min_words]
-    return out
+    enough = np.bincount(owner, minlength=len(docs)) >= smallest
+    some = enough[owner]
+    hit, place, owner = hit[some], place[some], owner[some]
+    # documents in groups of bounded postings; a document is never cut
+    load = np.bincount(owner, weights=index.count[place], minlength=len(docs)) if len(owner) else np.zeros(len(docs))
+    group = (np.cumsum(load) // POSTINGS).astype(np.int64)
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    for g in np.unique(group[owner]):
+        own = group[owner] == g
+        o = owner[own]
+        for d, item, low, wide, p, q in index.bands(o, hit[own] - starts[o], place[own]):
+            exact, near = index.align(docs[d], item, low, wide, p, q)
+            e, n = best.get((d, item), (0, 0))
+            best[d, item] = (max(e, exact), max(n, near))
+    return [(batch["doc_id"].iat[d], index.ids[item], e, n) for (d, item), (e, n) in best.items() if n >= index.min_words]
 
 
 def leaks(docs: DataFrame, items: DataFrame, edits: int = EDITS, min_words: int = WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
