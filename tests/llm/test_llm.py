@@ -141,6 +141,17 @@ def test_near_passages_within_budget(spark):
     assert len(r) == 1 and r[0].exact_words < 10 <= r[0].near_words
 
 
+def test_script_consistency_beats_a_letter_table():
+    model = lookalike.NgramScores(["PIPE", "COUPLING", "수량", "PRICE"])
+    table = str.maketrans(lookalike.LOOKS)
+    # a word of another script that only seems to hold Latin letters keeps its own
+    for word in ("насос", "клапан", "Эскиз", "διάμετρος"):
+        assert lookalike.consistent(word, model) == word != word.translate(table)
+    for word in ("РIРЕ", "СОUPLING", "Ρrice".upper()):
+        assert lookalike.consistent(word, model) in {"PIPE", "COUPLING", "PRICE"}
+    assert lookalike.consistent("насос РIРЕ", model) == "насос PIPE"
+
+
 TARGETS = [("a", 0.5, 1), ("b", 0.3, 4), ("c", 0.2, 2), ("none", 0.1, 1)]
 
 
@@ -160,7 +171,27 @@ def test_mix_meets_shares_and_caps(spark):
     # the share of each source in the first half follows the integral of its schedule
     half = got[got.position < 0.5].groupby("source").tokens.sum() / used
     for p in plan:
-        assert abs(half[p.source] - (0.5 + p.tilt * 0.25)) < 0.05
+        assert abs(half[p.source] - p.share_before(0.5)) < 0.05
+
+
+def test_mix_follows_given_schedules(spark):
+    rng = random.Random(16)
+    rows = [(i, "abc"[i % 3], rng.randint(1, 60)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint")
+    have = {s: sum(t for _, x, t in rows if x == s) for s in "abc"}
+    own = {"a": ((0.0, 0.0), (0.5, 2.0), (0.5, 0.0), (0.8, 0.0), (1.0, 3.0)), "b": ((0.4, 1.0), (0.6, 5.0))}
+    plan = mixing.plan_mix(have, TARGETS, schedules=own)
+    got = mixing.place_documents(df, plan).toPandas()
+    used = got.groupby("source").tokens.sum()
+    for p in plan:
+        for t in (0.1, 0.3, 0.5, 0.7, 0.9):
+            here = got[(got.source == p.source) & (got.position < t)].tokens.sum() / used[p.source]
+            assert abs(here - p.share_before(t)) < 0.03, (p.source, t)
+        assert p.share_before(1.0) == pytest.approx(1.0) and p.share_before(0.0) == 0.0
+    assert not ((got.source == "a") & (got.position > 0.51) & (got.position < 0.79)).any()
+    for bad in ((), ((0.0, 0.0),), ((2.0, 1.0),), ((0.1, -1.0),)):
+        with pytest.raises(ValueError):
+            mixing.checked_schedule(bad)
 
 
 def test_mix_with_a_total_beyond_a_source():
