@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quirelake.operators import drift, nested, rolling
 from quirelake.sources.tables import table
@@ -17,6 +18,7 @@ QUERIES: dict[str, Query] = {
     "p1_unified": lambda s, d: drift.unified_rows(table(s, d, "export_files")),
     "p3_found": lambda s, d: rolling.usage_bursts(table(s, d, "usage_events")),
     "p3_rolling": lambda s, d: rolling.usage_rolling(table(s, d, "usage_events")),
+    "p3_corrected": lambda s, d: rolling.usage_corrected(table(s, d, "usage_events"), F.lower("status") == "error"),
     "p5_found": lambda s, d: nested.linked_children(table(s, d, "export_files")),
     "p5_identities": lambda s, d: nested.identity_report(table(s, d, "export_files")),
 }
@@ -63,3 +65,6 @@ ORACLE: dict[str, str] = {
     "p3_found": _DAYS + "SELECT engine, strftime(day, '%Y-%m-%d') AS usage_day FROM w WHERE day >= a + 29 AND tokens_30 > 0 AND tokens_7 * 2 > tokens_30",
     "p3_rolling": _DAYS + f"SELECT engine, strftime(day, '%Y-%m-%d') AS usage_day, {_rolling_columns()} FROM w",
 }
+_CORRECTED = _DAYS.replace("SELECT id, lower(trim(engine))", "SELECT id, lower(status) <> 'error' AS own, lower(trim(engine))").replace("SELECT engine, tokens, cost,\n", "SELECT engine, own, tokens, cost,\n")
+_CORRECTED = _CORRECTED.replace("count(*) AS calls, sum(tokens) AS tokens, sum(cost) AS cost FROM d GROUP BY ALL", "count_if(own) AS calls, sum(CASE WHEN own THEN tokens ELSE 0 END) AS tokens, sum(CASE WHEN own THEN cost ELSE 0 END) AS cost FROM d GROUP BY ALL")
+ORACLE["p3_corrected"] = _CORRECTED + f"SELECT engine, strftime(day, '%Y-%m-%d') AS usage_day, {_rolling_columns()} FROM w"

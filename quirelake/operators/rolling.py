@@ -10,9 +10,14 @@ a query is one equi-join of (entity, level, idx) instead of a range join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelake.plans.lineage import checkpoint_dir, cut
+from quirelake.plans.sizes import broadcast_if_small
+
 #: A shard spans 2^TOP_LEVEL days; shards are the unit that a late correction rewrites.
 TOP_LEVEL = 7
 COST = "decimal(28,10)"
@@ -58,10 +63,29 @@ def build_tree(leaves: DataFrame) -> DataFrame:
 def correct_tree(nodes: DataFrame, deltas: DataFrame) -> DataFrame:
     """`nodes` after late corrections, given as leaf rows that hold differences.
 
-    Only the ancestors of a corrected day, one a level, get another value; with
-    nodes stored by shard only the shards named in `deltas` need a rewrite.
+    Only the ancestors of a corrected day, one a level, get another value; all
+    other nodes pass through without a shuffle of their own.
     """
-    return _sum_nodes(nodes.select("entity", "shard", "level", "idx", "calls", "tokens", "cost").unionByName(build_tree(deltas)))
+    cols = ["entity", "shard", "level", "idx", "calls", "tokens", "cost"]
+    late = build_tree(deltas)
+    hit = late.select("entity", "level", "idx")
+    touched = nodes.join(broadcast_if_small(hit), ["entity", "level", "idx"], "left_semi")
+    rest = nodes.join(broadcast_if_small(hit), ["entity", "level", "idx"], "left_anti")
+    return rest.select(cols).unionByName(_sum_nodes(touched.select(cols).unionByName(late)))
+
+
+def store_tree(nodes: DataFrame, path: str) -> None:
+    """The nodes as a table with a folder a time shard."""
+    nodes.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+def correct_stored(spark: SparkSession, path: str, deltas: DataFrame) -> None:
+    """Apply late corrections to a stored tree: only the shards that `deltas` name are read and rewritten."""
+    late = cut(deltas)
+    shards = late.select(F.shiftright("day", TOP_LEVEL).alias("shard")).distinct()  # one a 128 days
+    old = spark.read.parquet(path).join(F.broadcast(shards), "shard", "left_semi")
+    new = cut(correct_tree(old, late))
+    new.repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
 
 
 def trailing_cover(day: Column, days: int) -> Column:
@@ -110,7 +134,10 @@ def usage_rolling(events: DataFrame) -> DataFrame:
     avg_*_n is the average a calendar day (total / n); per_call_tokens_n the
     average a call, null without calls.
     """
-    r = rolling_totals(build_tree(daily_leaves(events)))
+    return usage_report(rolling_totals(build_tree(daily_leaves(events))))
+
+
+def usage_report(r: DataFrame) -> DataFrame:
     cols = [F.col("entity").alias("engine"), F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")), "yyyy-MM-dd").alias("usage_day")]
     for n in (7, 30):
         cols += [
@@ -124,6 +151,21 @@ def usage_rolling(events: DataFrame) -> DataFrame:
     return r.select(*cols)
 
 
+def usage_corrected(events: DataFrame, void: Column) -> DataFrame:
+    """The report of usage_rolling after the calls that `void` names were withdrawn.
+
+    The tree of all events is stored, and the withdrawals come late, as negative
+    leaves that rewrite their shards only. A day all of whose calls are withdrawn
+    stays in the calendar.
+    """
+    spark = events.sparkSession
+    path = f"{checkpoint_dir(spark)}/quirelake-tree-{uuid.uuid4().hex}"
+    store_tree(build_tree(daily_leaves(events)), path)
+    withdrawn = daily_leaves(events.filter(void)).select("entity", "day", *[(-F.col(c)).cast(k).alias(c) for c, k in (("calls", "long"), ("tokens", "long"), ("cost", COST))])
+    correct_stored(spark, path, withdrawn)
+    return usage_report(rolling_totals(spark.read.parquet(path)))
+
+
 def usage_bursts(events: DataFrame) -> DataFrame:
     """(engine, usage_day) whose 7 day tokens exceed half of the 30 day tokens.
 

@@ -206,3 +206,17 @@ def test_bucketed_order_equals_plain_window(spark):
         for _, i, v in sorted(r for r in rows if r[0] == k):
             assert lag[k, i] == last and pre[k, i] == total
             last, total = i, total + v
+
+
+def test_correction_rewrites_only_its_shard(spark, tmp_path):
+    leaf = "entity string, day int, calls long, tokens long, cost decimal(28,10)"
+    rows = [("e", d, 1, d, Decimal(1)) for d in range(0, 400, 3)]
+    path = str(tmp_path / "tree")
+    rolling.store_tree(rolling.build_tree(spark.createDataFrame(rows, leaf)), path)
+    files_of = lambda k: sorted(p.name for p in (tmp_path / "tree" / f"shard={k}").glob("*.parquet"))
+    before = {k: files_of(k) for k in range(4)}
+    rolling.correct_stored(spark, path, spark.createDataFrame([("e", 150, 0, 1000, Decimal(0)), ("new", 151, 1, 5, Decimal(2))], leaf))
+    assert {k for k in range(4) if files_of(k) != before[k]} == {1}
+    want = rolling.build_tree(spark.createDataFrame([*rows, ("e", 150, 0, 1000, Decimal(0)), ("new", 151, 1, 5, Decimal(2))], leaf))
+    cols = ["entity", "level", "idx", "calls", "tokens", "cost"]
+    assert sorted(map(tuple, spark.read.parquet(path).select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
