@@ -107,27 +107,49 @@ def fitted(row: Column, width: Column) -> Column:
     return run(row, width)
 
 
-def realign(row: list[str], headers: list[str]) -> list[str]:
-    """A row with fewer cells than a table with composite headers, set right-aligned.
+def composite_block(headers: list[str]) -> tuple[int, int] | None:
+    """First composite header and the place behind the last one."""
+    at = [i for i, h in enumerate(headers) if " | " in h or re.search(r"_(?!\d+$)", h)]
+    return (at[0], at[-1] + 1) if at else None
 
-    The cells up to the first composite header stay; the rest belong to the last
-    columns, and the columns between are blank.
-    """
-    if len(row) >= len(headers):
-        return list(row)
-    first = next((i for i, h in enumerate(headers) if " | " in h or re.search(r"_(?!\d+$)", h)), None)
-    if first is None or len(row) <= first:
-        return list(row) + [""] * (len(headers) - len(row))
-    lead, rest = list(row[:first]), list(row[first:])
-    return lead + [""] * (len(headers) - first - len(rest)) + rest
 
+def realign(row: list[str], headers: list[str]) -> list[str]:
+    """A row of a table with composite headers whose last cells slid to the left.
 
-def realigned(row: Column, headers: Column) -> Column:
-    @F.pandas_udf(ROW)
+    The filled cells at the start stay. The rest belong to the last columns: in a
+    short row all that follow, in a row of full width with nothing behind the
+    composite block its filled cells, if there are columns enough behind it.
+    """
+    width = len(headers)
+    full = (list(row) + [""] * width)[:width]
+    block = composite_block(headers)
+    if block is None or block[0] == 0 or len(row) < 2:
+        return full
+    begin, end = block
+    blank = [not c.strip() for c in full]
+    if len(row) >= width:
+        slid = [c for c, b in zip(full[begin:], blank[begin:]) if not b]
+        if any(blank[:begin]) or not all(blank[end:]) or not 0 < len(slid) <= width - end:
+            return full
+        return full[:begin] + [""] * (width - begin - len(slid)) + slid
+    lead = next((i for i in range(begin) if i >= len(row) or blank[i]), begin)
+    rest = list(row[lead:])
+    if lead == 0 or len(row) <= begin or len(rest) > width - begin:
+        return full
+    return row[:lead] + [""] * (width - lead - len(rest)) + rest
+
+
+def normalise(rows: list[list[str]], headers: list[str]) -> list[list[str]]:
+    """Every row at the width of the headers: longer ones merged, shorter ones set right."""
+    return [fit_width(r, len(headers)) if len(r) > len(headers) else realign(r, headers) for r in rows]
+
+
+def normalised(rows: Column, headers: Column) -> Column:
+    @F.pandas_udf(GRID)
     def run(r: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else realign([y or "" for y in x], list(k)) for x, k in zip(r, h)])
+        return pd.Series([None if x is None else normalise([[c or "" for c in y] for y in x], list(k)) for x, k in zip(r, h)], dtype=object)
 
-    return run(row, headers)
+    return run(rows, headers)
 
 
 def pipe_tables_to_html(text: str) -> str:

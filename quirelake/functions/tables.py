@@ -77,13 +77,13 @@ def title_of(row: Column) -> Column:
     return F.when((F.size(one) == 1) & (F.length(t) >= 3) & ~t.rlike(r"^\d+$"), t)
 
 
-def unique_headers(headers: Column, blank: str = "Column_", base: int = 1) -> Column:
-    """Repeated headers as name_2, name_3; blank ones by their place."""
-    names = F.transform(headers, lambda h, i: F.when(strip(F.coalesce(h, F.lit(""))) == "", F.concat(F.lit(blank), (i + base).cast("string"))).otherwise(strip(h)))
+def unique_headers(headers: Column, blank: str = "Column_", base: int = 1, keep_blank: bool = False) -> Column:
+    """Repeated headers as name_2, name_3; blank ones by their place, or as they are with `keep_blank`."""
+    names = F.transform(headers, lambda h, i: F.when(strip(F.coalesce(h, F.lit(""))) == "", F.lit("") if keep_blank else F.concat(F.lit(blank), (i + base).cast("string"))).otherwise(strip(h)))
 
     def number(h: Column, i: Column) -> Column:
         before = F.size(F.filter(F.slice(names, F.lit(1), i + 1), lambda x: x == h))
-        return F.when(before > 1, F.concat(h, F.lit("_"), before.cast("string"))).otherwise(h)
+        return F.when((before > 1) & (h != ""), F.concat(h, F.lit("_"), before.cast("string"))).otherwise(h)
 
     return F.transform(names, number)
 
