@@ -113,6 +113,8 @@ _HEAD = re.compile(r"^(?:[^\W\d]+[\s:!(]{1,2}){0,3}\(?[45]\d\d\)?(?:\s*-\s*reque
 _NOTE = re.compile(r"^(?:알림|요청 실패|안내|notice)\s*[:.\-]?\s+", re.IGNORECASE)
 _TEXT = re.compile(r"\"([^\"]*)\"(?=\s*[,}])")
 _ODD = {0xAD: None, 0x200B: None, 0x200C: None, 0x200D: None, 0x2060: None, 0xFEFF: None, 0x200E: None, 0x200F: None}
+_UNSEEN = tuple(map(chr, _ODD))
+_DIGIT = re.compile(r"\d")
 _MAY_SPAN = re.compile(r"[{\[<«○(]|@@|__|XX|todo:|%[^\W\d]", re.IGNORECASE)
 _HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|\d+")
 
@@ -121,7 +123,7 @@ _HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|\d+")
 
 def segments(text: str) -> list[str]:
     """Lines and sentences of a document without markup, heads of status lines on their own."""
-    t = text.translate(_ODD)
+    t = text.translate(_ODD) if any(c in text for c in _UNSEEN) else text
     if "<" in t:
         t = _TAG.sub("\n", t)
     out = []
@@ -137,7 +139,7 @@ def segments(text: str) -> list[str]:
 
 
 def _masked(s: str) -> str:
-    return re.sub(r"\s+", " ", _HEX.sub("0", s)).strip(" .!?\"'")
+    return " ".join((_HEX.sub("0", s) if _DIGIT.search(s) else s).split()).strip(" .!?\"'")
 
 
 def span_key(span: str) -> str:
@@ -154,7 +156,7 @@ def span_key(span: str) -> str:
 def segment_key(segment: str) -> str:
     """Comparable form of a line or sentence: spans, numbers and dummy text masked, case and end marks off."""
     s = SPAN.sub(MASK, segment) if _MAY_SPAN.search(segment) else segment
-    s = unicodedata.normalize("NFKC", s).casefold()
+    s = (s if s.isascii() else unicodedata.normalize("NFKC", s)).casefold()
     if "a" <= s[-2:-1] <= "z":
         w = s.split()
         dummy = [x[:4] in _LOREM_STEMS for x in w]
