@@ -127,14 +127,18 @@ def chapter_number(c: Column) -> Column:
 
 
 def section_name(c: Column) -> Column:
-    """`제N장 공 통` as `제N장 공통`, if every token of the name is one syllable."""
-    return F.when(c.rlike(r"^제\d+장\s+[가-힣](\s+[가-힣])+$"), F.concat(F.regexp_extract(c, r"^(제\d+장)", 1), F.lit(" "), F.regexp_replace(F.regexp_extract(c, r"^제\d+장\s+(.*)$", 1), r"\s+", ""))).otherwise(c)
+    """A chapter's name one space behind `제N장`; spaced-out syllables (공 통) are joined, all else is trimmed."""
+    name = strip(F.regexp_extract(c, r"^제\d+장(.*)$", 1))
+    lone = ~F.exists(F.split(name, r"\s+"), lambda w: ~w.rlike("^[가-힣]$"))
+    joined = F.when(lone, F.regexp_replace(name, r"\s+", "")).otherwise(name)
+    return F.when(c.rlike(r"^제\d+장"), F.concat(F.regexp_extract(c, r"^제\d+장", 0), F.lit(" "), joined)).otherwise(strip(c))
 
 
 def split_trailing_chapter(line: Column) -> Column:
-    """[line, chapter] where a chapter title follows a sub-section on one line, else [line]."""
-    head, tail = F.regexp_extract(line, r"^(.+?)\s+(제\d+장\s+.+)$", 1), F.regexp_extract(line, r"^(.+?)\s+(제\d+장\s+.+)$", 2)
-    return F.when(tail != "", F.array(head, tail)).otherwise(F.array(line))
+    """[line, chapter] where a chapter title with its page follows a numbered sub-section on one line, else [line]."""
+    at = F.regexp_instr(line, F.lit(r"\s제\d+장(?:\s+[가-힣]+)+\s+\d+\s*$"))
+    parted = F.array(strip(F.substring(line, F.lit(1), at)), strip(F.substr(line, at)))
+    return F.when(line.rlike(r"^\d+-") & (at > 0), F.filter(parted, lambda x: x != "")).otherwise(F.array(line))
 
 
 def repair_section_id(section_id: Column, chapter: Column) -> Column:

@@ -31,7 +31,12 @@ def one(spark, value, f, kind="string"):
         (X.chapter_number, "제12장 배관", 12),
         (X.chapter_number, None, 0),
         (X.section_name, "제3장 공 통", "제3장 공통"),
-        (X.split_trailing_chapter, "1-2 배관 제3장 공사", ["1-2 배관", "제3장 공사"]),
+        (X.section_name, "제1장공통", "제1장 공통"),
+        (X.section_name, "제1장 지붕 및 홈통공사", "제1장 지붕 및 홈통공사"),
+        (X.section_name, " 부록 ", "부록"),
+        (X.split_trailing_chapter, "제목 제3장 공사 12", ["제목 제3장 공사 12"]),
+        (X.split_trailing_chapter, "1-2 배관 제3장 공사", ["1-2 배관 제3장 공사"]),
+        (X.split_trailing_chapter, "1-2-1 배관 5 제3장 지붕 공사 12 ", ["1-2-1 배관 5", "제3장 지붕 공사 12"]),
         (X.file_name, "a/b/견적 1?.pdf", "견적 1_.pdf"),
         (X.file_name, "a/..", "input.pdf"),
         (X.sheet_token, " a/b:\nc' ", "a_b_ c"),
@@ -151,6 +156,8 @@ def test_line_reader():
     got = read_tables(text)
     assert [(k, len(r)) for k, _, _, r in got] == [("bom", 3), ("line_list", 1)]
     assert read_tables("") == []
+    noisy = "BILL OF MATERIALS\n| S/N | SIZE | Q'TY |\n| 1 | 20A | 2 |\n| DRW'D | x | y |\n| a | a | a |\n\n| 2 | 25A | 3 |"
+    assert [r for _, _, _, r in read_tables(noisy)] == [[["1", "20A", "2"], ["2", "25A", "3"]]]
 
 
 def test_reflow():
