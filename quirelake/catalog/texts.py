@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import keywords as K
 from quirelake.functions import numbers as N
+from quirelake.functions import tables as T
 from quirelake.functions import text as X
 from quirelake.sources.tables import table
 
@@ -52,10 +53,11 @@ def clean_documents(s, d):
 
 
 @query("cell_text", f"""SELECT doc_id, section_ord, table_ord, row_ord, col_ord,
-  {_collapse("regexp_replace(replace(replace(value, '<', ' '), '>', ' '), '&', '&', 'g')")} || '^2 A&B_i' AS cell FROM {_CELLS} WHERE value IS NOT NULL AND value NOT LIKE '%<%' AND value NOT LIKE '%>%' AND value NOT LIKE '%&%' AND trim(regexp_replace(value, '{_S}+', '', 'g')) <> ''""")
+  {_collapse("value")} || '^2 A&B_i' AS cell FROM {_CELLS} WHERE value IS NOT NULL AND trim(regexp_replace(value, '{_S}+', '', 'g')) <> ''""")
 def cell_text(s, d):
-    c = _cells(s, d).filter(~F.col("value").rlike("[<>&]") & (X.collapse(F.col("value")) != ""))
-    html = F.concat(F.lit("<td><b>"), "value", F.lit("</b><sup>2</sup> A&amp;B<sub>i</sub><br></td>"))
+    """Every cell set into markup, its own marks escaped, and read back."""
+    c = _cells(s, d).filter(X.collapse(F.col("value")) != "")
+    html = F.concat(F.lit("<td><b>"), T.escape_html(F.col("value")), F.lit("</b><sup>2</sup> A&amp;B<sub>i</sub><br></td>"))
     out = F.regexp_replace(X.cell_text(html), r" \^2 ", "^2 ")
     return c.select("doc_id", "section_ord", "table_ord", "row_ord", "col_ord", out.alias("cell"))
 
