@@ -8,6 +8,8 @@ higher-order function.
 from __future__ import annotations
 
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,3 +133,35 @@ def bounding_box(words: DataFrame, by: list[str]) -> DataFrame:
     return words.groupBy(*by).agg(F.min("x0").alias("x0"), F.min("top").alias("y0"), F.max("x1").alias("x1"), F.max("bottom").alias("y1"))
 
 
+
+
+#: Gap between rows that ends a table of conditions, the rows it has at least before that, and at most.
+ROW_GAP, LEAST_ROWS, MOST_ROWS = 26.0, 2, 6
+# Both stand in the row that begins a table of conditions.
+CONDITION_HEADS = ("일반사항", "특기사항")
+#: Tolerances of ruled lines: the least one, and how many line widths a corner spans.
+LEAST_TOLERANCE, CORNER_WIDTHS = 8.0, 4.0
+
+
+def condition_tables(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, row_no, n, x0, y0, x1, y1) of tables that a row with both condition heads begins.
+
+    `rows` is (by, row_no, text, x0, top, x1, bottom). A table takes the rows that
+    follow, MOST_ROWS in all, up to a gap of more than ROW_GAP behind its second.
+    The rows of a start meet by number, so no page is collected.
+    """
+    bare = F.replace("text", F.lit(" "), F.lit(""))
+    starts = rows.filter(reduce(lambda a, w: a & bare.contains(w), CONDITION_HEADS, F.lit(True))).select(*by, F.col("row_no").alias("start"))
+    asked = starts.select(*by, "start", F.explode(F.sequence(F.lit(0), F.lit(MOST_ROWS - 1))).alias("k")).withColumn("row_no", F.col("start") + F.col("k"))
+    near = asked.join(rows, [*by, "row_no"]).groupBy(*by, "start").agg(F.array_sort(F.collect_list(F.struct("k", "x0", "top", "x1", "bottom"))).alias("l"))
+    ends = F.filter(F.sequence(F.lit(1), F.size("l")), lambda i: (i > LEAST_ROWS) & (F.try_element_at("l", i)["top"] - F.try_element_at("l", i - 1)["top"] > ROW_GAP))
+    own = near.select(*by, F.col("start").alias("row_no"), F.slice("l", F.lit(1), F.coalesce(F.try_element_at(ends, F.lit(1)) - 1, F.size("l"))).alias("l"))
+    pick = lambda f, c: f(F.transform("l", lambda x: x[c]))
+    return own.select(*by, "row_no", F.size("l").alias("n"), pick(F.array_min, "x0").alias("x0"), pick(F.array_min, "top").alias("y0"), pick(F.array_max, "x1").alias("x1"), pick(F.array_max, "bottom").alias("y1"))
+
+
+def line_tolerances(lines: DataFrame, by: list[str]) -> DataFrame:
+    """(by, snap, join_at, meet): tolerances from the widest line of each page; a line without width is 1 wide."""
+    widest = F.max(F.coalesce("width", F.lit(1.0)))
+    reach = F.greatest(F.lit(LEAST_TOLERANCE), widest * CORNER_WIDTHS)
+    return lines.groupBy(*by).agg((reach / 2).alias("snap"), reach.alias("join_at"), reach.alias("meet"))

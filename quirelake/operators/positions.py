@@ -100,3 +100,39 @@ def section_marker(section_id: Column, title: Column, department: Column, chapte
 def parse_section_marker(marker: Column) -> Column:
     g = lambda k: F.trim(F.regexp_extract(marker, SECTION, k))
     return F.struct(g(1).alias("section_id"), g(2).alias("title"), g(3).alias("department"), g(4).alias("chapter"))
+
+
+def redistribute(groups: DataFrame, by: list[str]) -> DataFrame:
+    """(by, section_id, text): one text block given to the markers that stand before it.
+
+    `groups` is (by, text, markers array<struct(section_id, title)>). A section begins
+    at the first line that starts with its id, else at the line that holds the first
+    eight letters of its title. Sections without a place get ''; without any place
+    the last marker gets the text. What stands before the first place goes to it.
+    """
+    text = F.col("text")
+
+    def place(m: Column) -> Column:
+        by_id = F.regexp_instr(text, F.concat(F.lit(r"(?m)^\Q"), m["section_id"], F.lit(r"\E\s+")))
+        head = F.substring(m["title"], 1, 8)
+        by_title = F.when(F.length(m["title"]) >= 2, F.instr(text, head))
+        line = by_title - F.length(F.substring_index(F.substring(text, F.lit(1), by_title - 1), "\n", -1))
+        return F.when(by_id > 0, by_id).when(by_title > 0, line)
+
+    # the k-th marker with its place from 1, in order of places
+    at = F.filter(F.transform("markers", lambda m, k: F.struct(place(m).alias("p"), k.alias("k"))), lambda x: x["p"].isNotNull())
+    g = groups.withColumn("at", F.when(F.size("markers") > 1, F.array_sort(at)))
+    blank = strip(F.coalesce(text, F.lit(""))) == ""
+
+    def share(m: Column, k: Column) -> Column:
+        i = F.array_position(F.transform("at", lambda x: x["k"]), k).cast("int")
+        begin = F.try_element_at("at", i)["p"]
+        end = F.coalesce(F.try_element_at("at", i + 1)["p"], F.length(text) + 1)
+        own = strip(F.substring(text, begin, end - begin))
+        before = strip(F.substring(text, F.lit(1), F.col("at")[0]["p"] - 1))
+        first = F.when((i == 1) & (before != ""), F.concat(before, F.lit("\n\n"), own)).otherwise(own)
+        last = F.when(k == F.size("markers") - 1, text).otherwise("")
+        return F.when(blank, F.lit("")).when(F.size("markers") == 1, text).when(F.size("at") == 0, last).when(F.coalesce(i, F.lit(0)) > 0, first).otherwise("")
+
+    out = g.select(*by, F.explode(F.transform("markers", lambda m, k: F.struct(m["section_id"].alias("section_id"), share(m, k).alias("text")))).alias("x"))
+    return out.select(*by, "x.*")

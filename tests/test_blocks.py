@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirelake.functions import grid as G
-from quirelake.operators import blocks
+from quirelake.operators import blocks, layout, positions, reports
 
 SPARSE = (
     "<table><thead><tr>" + "".join(f"<th rowspan='2'>{h}</th>" for h in ("ITEM", "DESCRIPTION", "SIZE", "MAT'L", "SCH", "CLASS", "ENDS", "REMARK", "TAG")) + "<th colspan='4'>WEIGHT</th><th rowspan='2'>QTY</th><th rowspan='2'>UNIT</th></tr>"
@@ -86,3 +86,42 @@ def test_small_operators(spark):
     assert one(blocks.strong_package(F.lit(True), F.lit(True), F.lit(2))) is False
     st = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("a", 1, "z"), ("b", 3, "w")], "k string, s int, v string")
     assert sorted(r.v for r in blocks.first_stage(st, ["k"], "s").collect()) == ["w", "y", "z"]
+
+
+def test_condition_tables(spark):
+    tops = [0, 10, 20, 60, 70, 200, 210, 220, 230, 240, 250, 260, 270]
+    text = {1: "일 반 사항 특기사항", 5: "일반사항 / 특기사항"}
+    rows = [("d", i, text.get(i, "줄"), float(i), float(t), 100.0 + i, t + 8.0) for i, t in enumerate(tops)]
+    df = spark.createDataFrame(rows, "d string, row_no int, text string, x0 double, top double, x1 double, bottom double")
+    got = {r.row_no: (r.n, r.x0, r.y0, r.x1, r.y1) for r in layout.condition_tables(df, ["d"]).collect()}
+    assert got == {1: (2, 1.0, 10.0, 102.0, 28.0), 5: (6, 5.0, 200.0, 110.0, 258.0)}
+    t = layout.line_tolerances(spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None)], "p string, width double"), ["p"]).collect()
+    assert {(r.p, r.snap, r.join_at, r.meet) for r in t} == {("a", 6.0, 12.0, 12.0), ("b", 4.0, 8.0, 8.0)}
+
+
+def test_text_given_to_markers(spark):
+    m = lambda *x: [{"section_id": a, "title": b} for a, b in x]
+    rows = [
+        ("both", "머리\n1-1 관\n본문\n1-2 밸브\n끝", m(("1-1", "관"), ("1-2", "밸브"))),
+        ("title", "앞\n공통 가설 공사 일반\n본문", m(("2-1", "없는 제목"), ("2-2", "공통 가설 공사 일반"))),
+        ("none", "아무 글", m(("3-1", "x"), ("3-2", None))),
+        ("one", " 글 ", m(("4-1", "x"))),
+        ("blank", "  ", m(("5-1", "x"), ("5-2", "y"))),
+        ("null", None, m(("6-1", "x"), ("6-2", "y"))),
+    ]
+    df = spark.createDataFrame(rows, "g string, text string, markers array<struct<section_id: string, title: string>>")
+    got = {(r.g, r.section_id): r.text for r in positions.redistribute(df, ["g"]).collect()}
+    assert got == {
+        ("both", "1-1"): "머리\n\n1-1 관\n본문", ("both", "1-2"): "1-2 밸브\n끝", ("title", "2-1"): "", ("title", "2-2"): "앞\n\n공통 가설 공사 일반\n본문",
+        ("none", "3-1"): "", ("none", "3-2"): "아무 글", ("one", "4-1"): " 글 ", ("blank", "5-1"): "", ("blank", "5-2"): "", ("null", "6-1"): "", ("null", "6-2"): "",
+    }
+
+
+def test_reports_of_odd_inputs(spark):
+    assert reports.batch_rollup(spark.createDataFrame([("a", None, 0), ("a", True, 4)], "b string, ok boolean, n int"), "b", "ok", "n").collect()[0].asDict() == {"b": "a", "ok": 1, "failed": 1, "rows_ok": 4, "mean_rows": 2.0, "without_rows": 1}
+    a = spark.createDataFrame([("x", 0.0), ("y", 4.0)], "k string, v double")
+    b = spark.createDataFrame([("x", 5.0), ("y", 5.0), ("z", 1.0)], "k string, v double")
+    assert {r.k: r.change_pct for r in reports.compare_runs(a, b, "k", "v").collect()} == {"x": 0.0, "y": 25.0, "z": None}
+    assert [r.line for r in reports.qa_report(a.limit(0).selectExpr("k AS verdict")).collect()] == ["# QA: PASS"]
+    calls = spark.createDataFrame([(i,) for i in range(1, 9)], "id int")
+    assert [r.slot for r in reports.serve_calls(calls, "id", 2, 2, exhausted=(0,)).orderBy("id").collect()] == [1] * 8
