@@ -195,20 +195,27 @@ def p2_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p2_values(spark, sf_dir: str) -> DataFrame:
-    """(header, n, header_id, matched, errors, n_candidates): the report over distinct typed headers.
+    """(header, n, header_id, matched, errors, within): the report over distinct typed headers.
 
-    header_id 0 and null matched are the unmatched values.
+    within holds every entry within the allowed distance, once each by its best
+    path: id, path and errors, best first. header_id 0 and null matched are the
+    unmatched values.
     """
     entries = header_entries(spark, sf_dir)
 
+    def row(found: list[tuple[int, int, int, str]]) -> dict:
+        best: dict[int, dict] = {}
+        for e, _, i, path in found:
+            best.setdefault(i, {"header_id": i, "path": path, "errors": e})
+        first = next(iter(best.values()), {"header_id": 0, "path": None, "errors": None})
+        return {"header_id": first["header_id"], "matched": first["path"], "errors": first["errors"], "within": list(best.values())}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = Canonicaliser(entries)
         for pdf in batches:
-            got = [c.candidates(v) for v in pdf["header"]]
-            yield pd.DataFrame({
-                "header": pdf["header"], "n": pdf["n"], "header_id": [g[0][2] if g else 0 for g in got], "matched": [g[0][3] if g else None for g in got],
-                "errors": pd.array([g[0][0] if g else None for g in got], dtype="Int32"), "n_candidates": [len({x[2] for x in g}) for g in got],
-            })
+            got = pd.DataFrame([row(c.candidates(v)) for v in pdf["header"]], columns=["header_id", "matched", "errors", "within"], index=pdf.index)
+            got["errors"] = got["errors"].astype("Int32")
+            yield pd.concat([pdf[["header", "n"]], got], axis=1)
 
     n = estimate_headers(table(spark, sf_dir, "doc_tables")).filter("header is not null").distinct().groupBy("header").agg(F.count(F.lit(1)).alias("n"))
-    return n.mapInPandas(run, "header string, n bigint, header_id int, matched string, errors int, n_candidates int")
+    return n.mapInPandas(run, "header string, n bigint, header_id int, matched string, errors int, within array<struct<header_id: int, path: string, errors: int>>")

@@ -368,3 +368,16 @@ def test_a_word_of_its_own_is_no_misreading(spark):
     pairs = spark.createDataFrame([("cable", "trays"), ("up", "to")], "word string, after string")
     got = {(r.word, r.right) for r in scans.rank_in_context(df, pairs).collect()}
     assert got == {("tray5", "trays"), ("tbe", "the")}
+
+
+def test_report_names_every_entry_within_distance(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([(1, "QUANTITY", None, None), (2, "QUANTITIES", None, None), (3, "수량", None, None)], "header_id int, label string, label_en string, label_hanja string").write.parquet(f"{d}/canonical_headers.parquet")
+    cols = "doc_id string, section_ord int, table_ord int, domain string, headers array<string>"
+    spark.createDataFrame([("a", 0, 0, "estimate", ["QUANTITTY", "QUANTITIEZ", "zzzzzzzz", None, "수량", ""]), ("b", 0, 0, "bom", ["QUANTITTY"])], cols).write.parquet(f"{d}/doc_tables.parquet")
+    got = {r.header: r for r in canonical.p2_values(spark, d).collect()}
+    assert (got["QUANTITTY"].header_id, got["QUANTITTY"].errors) == (1, 1) and [x.header_id for x in got["QUANTITIEZ"].within][0] == 2
+    assert (got["zzzzzzzz"].header_id, got["zzzzzzzz"].matched, got["zzzzzzzz"].errors, got["zzzzzzzz"].within) == (0, None, None, [])
+    c = canonical.Canonicaliser([(1, ["QUANTITY"]), (2, ["QUANTITIES"]), (3, ["수량"])])
+    for h, r in got.items():
+        assert {x.header_id for x in r.within} == {i for _, _, i, _ in c.candidates(h)}
