@@ -43,6 +43,9 @@ MERGES = (("m", "rn"), ("d", "cl"), ("w", "vv"), ("n", "ri"), ("u", "ii"), ("h",
 MARKS = "\\-\u00ad\u2010\u2011\u2013\u00ac"
 _ROMAN = r"(?=[ivxlc])(?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
 PAGENO = re.compile(rf"^(?:[-–—]\s*\d{{1,4}}\s*[-–—]|\d{{1,4}}(?:\s*/\s*\d{{1,4}})?|(?:page|p\.?|쪽|페이지)\s*\d{{1,4}}(?:\s*(?:of|/)\s*\d{{1,4}})?|\d{{1,4}}\s*(?:쪽|페이지|page)|{_ROMAN})$", re.IGNORECASE)
+_NUMBER, _DIGIT = re.compile(r"\d+"), re.compile(r"\d")
+#: Words that a line of only a page number has at most.
+PAGENO_WORDS = 4
 _NUMBERED = re.compile(r"^\d{1,4}\s{2,}(?=\S)|(?<=\S)\s{2,}\d{1,4}$")
 LINE = "place string, doc_id string, ord_no int, line_no int, line string, kind string, kh bigint, key string, edge int, words string, first string, head string"
 _MARKS = frozenset("-\u00ad\u2010\u2011\u2013\u00ac")
@@ -52,8 +55,11 @@ BROADCAST_NUMBERS = 2_000_000
 
 def line_key(line: str) -> str:
     """A line without page number at its ends, blanks collapsed, numbers masked, case off."""
-    s = _NUMBERED.sub("", line.strip())
-    return re.sub(r"\d+", "#", re.sub(r"\s+", " ", s)).strip().casefold()
+    s = line.strip()
+    if s[:1].isdigit() or s[-1:].isdigit():
+        s = _NUMBERED.sub("", s)
+    s = " ".join(s.split())
+    return (_NUMBER.sub("#", s) if _DIGIT.search(s) else s).casefold()
 
 
 def bare(token: str) -> str:
@@ -78,11 +84,13 @@ def page_lines(place: str, doc_id: str, ord_no: int, text: str) -> list[tuple]:
     line ends in a broken word.
     """
     lines = text.split("\n")
-    filled = [i for i, x in enumerate(lines) if x.strip()]
+    words = [x.split() for x in lines]
+    filled = [i for i, w in enumerate(words) if w]
     outer = set(filled[:3] + filled[-3:])
     kind = {}
     for i in filled:
-        kind[i] = "pageno" if PAGENO.match(lines[i].strip()) and (place == "section" or i in outer) else "text"
+        number = len(words[i]) <= PAGENO_WORDS and (place == "section" or i in outer) and PAGENO.match(lines[i].strip())
+        kind[i] = "pageno" if number else "text"
     body = [i for i in filled if kind[i] == "text"]
     edge = dict(zip(body[::-1], (-1, -2))) | dict(zip(body, (1, 2)))
     out = []
@@ -91,7 +99,7 @@ def page_lines(place: str, doc_id: str, ord_no: int, text: str) -> list[tuple]:
         if k != "text":
             out.append((place, doc_id, ord_no, i + 1, x, k, None, None, 0, None, None, None))
             continue
-        key, toks, end = line_key(x), x.split(), x.rstrip()
+        key, toks, end = line_key(x), words[i], x.rstrip()
         broken = end[-1] in _MARKS and end[-2:-1].isalpha()
         head = toks[-1].rstrip("".join(_MARKS)) if broken else None
         out.append((place, doc_id, ord_no, i + 1, x, k, xxh64_intdigest(key.encode("utf-8", "surrogatepass")) - (1 << 63), key, edge.get(i, 0), " ".join(map(bare, toks)), toks[0], head))
@@ -334,7 +342,8 @@ class Repairs:
         out = kind(run, "running", F.lit(""))
         out = out.unionByName(kind(self.lines.filter("kind = 'pageno'"), "pageno", F.lit("")))
         out = out.unionByName(kind(self.joins, "hyphen", F.col("word")))
-        return out.unionByName(kind(self.fixed, "char", F.col("right"))).distinct()
+        # a line is running, a page number or broken once; only words put right may repeat in it
+        return out.unionByName(kind(self.fixed, "char", F.col("right")).distinct())
 
     def paragraphs(self) -> DataFrame:
         """(place, doc_id, ord_no, para_no, text): continuous paragraphs of each page.
