@@ -12,7 +12,7 @@ from quirelake.functions import grid as G
 from quirelake.functions import numbers as N
 from quirelake.functions import tables as T
 from quirelake.functions import text as X
-from quirelake.operators import bom, contract, layout, metadata, toc
+from quirelake.operators import bom, contract, layout, metadata, positions, reports, toc
 from quirelake.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,3 +169,43 @@ def realigned_rows(s, d):
     g = t.select(*bom.TABLE, F.explode(F.array(G.normalised(short, heads))).alias("g"))
     return g.select(*bom.TABLE, F.posexplode("g").alias("row_no", "r")).select(*bom.TABLE, "row_no", F.array_join("r", "|").alias("row"))
 
+
+
+def _token(x: str) -> str:
+    return f"regexp_replace(regexp_replace(trim(regexp_replace(coalesce({x}, ''), '{_S}+', ' ', 'g')), '[\\[\\]:*?/\\\\]', '_', 'g'), '^[ .'']+|[ .'']+$', '', 'g')"
+
+
+@query("sheet_names", f"""WITH t AS (SELECT {_KEY}, role, type, coalesce(CASE type WHEN 'A_품셈' THEN '품셈' WHEN 'B_규모기준' THEN '규모기준' WHEN 'C_구분설명' THEN '설명' WHEN 'D_기타' THEN '설명' END, '표') AS label, coalesce(CASE type WHEN 'A_품셈' THEN '품셈' WHEN 'B_규모기준' THEN '규모기준' WHEN 'C_구분설명' THEN '설명' WHEN 'D_기타' THEN '설명' END, 'BOM_자재표') AS bom_label,
+    {_token("headers[1]")} AS st, {_token("table_id")} AS tt FROM {_TABLES}),
+  n AS (SELECT *, CASE role WHEN 'source_info_table' THEN '업체정보' WHEN 'material_quantity_table' THEN '물량산출표' END AS own FROM t)
+  SELECT {_KEY}, coalesce(own, CASE WHEN st <> '' AND lower(st) NOT IN ('doc', 'inline_text') THEN CASE WHEN NOT contains(st, label) THEN st || '_' || label ELSE st END WHEN tt <> '' AND lower(tt) NOT IN ('doc', 'inline_text') THEN tt ELSE label END) AS name,
+    CASE WHEN role = 'line_list_table' OR type = 'BOM_LINE_LIST' THEN 'BOM_LINE_LIST' ELSE coalesce(own, CASE WHEN st <> '' AND lower(st) NOT IN ('doc', 'inline_text') THEN CASE WHEN NOT contains(st, bom_label) THEN st || '_' || bom_label ELSE st END WHEN tt <> '' AND lower(tt) NOT IN ('doc', 'inline_text') THEN tt ELSE bom_label END) END AS bom_name FROM n""")
+def sheet_names(s, d):
+    """Names of the sheets of every table, its first header standing for the section's title."""
+    t = contract.distinct_tables(table(s, d, "doc_tables"))
+    first = F.try_element_at("headers", F.lit(1))
+    name = reports.sheet_name(F.col("role"), first, F.col("table_id"), reports.type_label(F.col("type"), "표"))
+    return t.select(*bom.TABLE, name.alias("name"), reports.material_sheet_name(F.col("role"), F.col("type"), first, F.col("table_id")).alias("bom_name"))
+
+
+@query("context_markers", f"""SELECT doc_id, section_ord, CASE WHEN section_id IS NULL THEN '' ELSE '<!-- CONTEXT: ' || section_id || ' | ' || coalesce(title, '') || ' | 부문:' || coalesce(department, '') || ' | 장:' || coalesce(chapter, '') || ' -->' || chr(10) || chr(10) END AS context,
+  '<!-- PAGE ' || coalesce(page, 0) || CASE WHEN coalesce(title, '') <> '' THEN ' | ' || title ELSE '' END || ' -->' AS page_mark FROM {_SECTIONS}""")
+def context_markers(s, d):
+    x = table(s, d, "doc_sections").select("doc_id", "section_ord", "section_id", "title", "department", "chapter", "page").distinct()
+    context = positions.context_marker(F.col("section_id"), F.col("title"), F.col("department"), F.col("chapter"))
+    return x.select("doc_id", "section_ord", context.alias("context"), positions.page_marker(F.coalesce("page", F.lit(0)), F.col("title")).alias("page_mark"))
+
+
+@query("call_rules", """WITH e AS (SELECT DISTINCT id, engine, status, input_tokens, output_tokens, total_tokens FROM usage_events)
+  SELECT id, coalesce(contains(m, '429') OR regexp_matches(lower(m), 'quota|rate limit'), false) AS rate_limit, CASE WHEN total_tokens IS NULL THEN 'never' WHEN k IN ('auto', 'always', 'never') THEN k ELSE 'auto' END AS mode, coalesce(input_tokens, 0) AS input_tokens, coalesce(output_tokens, 0) AS output_tokens,
+    CASE WHEN id % 3 = 0 THEN 'b_2' WHEN id % 3 = 1 THEN 'b' ELSE 'b_1' END AS name
+  FROM (SELECT *, CASE WHEN lower(status) = 'error' THEN 'HTTP 429 ' || engine WHEN id % 5 = 0 THEN 'Rate Limit reached' ELSE status END AS m, CASE id % 4 WHEN 0 THEN 'always' WHEN 1 THEN 'never' WHEN 2 THEN 'x' END AS k FROM e)""")
+def call_rules(s, d):
+    """Every call put through the rules of engines: limits, fallback mode, token counts of an answer, reserved names."""
+    e = table(s, d, "usage_events").select("id", "engine", "status", "input_tokens", "output_tokens", "total_tokens").distinct()
+    said = F.when(F.lower("status") == "error", F.concat(F.lit("HTTP 429 "), "engine")).when(F.col("id") % 5 == 0, "Rate Limit reached").otherwise(F.col("status"))
+    asked = F.when(F.col("id") % 4 == 0, "always").when(F.col("id") % 4 == 1, "never").when(F.col("id") % 4 == 2, "x")
+    answer = F.to_json(F.struct(F.struct(F.col("input_tokens").alias("prompt_token_count"), F.col("output_tokens").alias("candidates_token_count")).alias("usage_metadata")))
+    n = reports.token_counts(answer)
+    taken = F.when(F.col("id") % 3 == 0, F.array(F.lit("b"), F.lit("b_1"))).when(F.col("id") % 3 == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("b")))
+    return e.select("id", reports.is_rate_limit(said).alias("rate_limit"), reports.fallback_mode(asked, F.col("total_tokens").isNull()).alias("mode"), n["input_tokens"].alias("input_tokens"), n["output_tokens"].alias("output_tokens"), reports.reserved_name(F.lit("b"), taken).alias("name"))

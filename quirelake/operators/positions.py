@@ -86,6 +86,12 @@ def gap_groups(rows: DataFrame, by: list[str], at: str, gap: Column, tie: list[s
     return rows.withColumn("_f", far).withColumn("grp", F.sum(F.when(F.col("_f"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_f")
 
 
+def context_marker(section_id: Column, title: Column, chapter: Column, section: Column) -> Column:
+    """The comment that repeats the section that goes on, before the text of a page; blank without one."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return F.when(section_id.isNull(), F.lit("")).otherwise(F.concat(F.lit("<!-- CONTEXT: "), section_id, F.lit(" | "), blank(title), F.lit(" | 부문:"), blank(chapter), F.lit(" | 장:"), blank(section), F.lit(" -->\n\n")))
+
+
 def page_marker(page: Column, context: Column | None = None) -> Column:
     """The comment that marks a page, with its context where there is one."""
     c = F.coalesce(context, F.lit("")) if context is not None else F.lit("")

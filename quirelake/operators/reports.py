@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirelake.functions.text import strip
+from quirelake.functions.text import sheet_token, strip
 from quirelake.plans.order import bucketed_prefix_sum
 
 # Kinds of artifacts by name and suffix, first match first.
@@ -91,3 +91,55 @@ def serve_calls(calls: DataFrame, order: str, keys: int, quota: int, exhausted:
     live = [next((k + i) % keys for i in range(keys) if (k + i) % keys not in exhausted) for k in range(keys)]
     turn = F.pmod(F.floor((F.col("n") - 1) / F.lit(quota)), F.lit(keys)).cast("int")
     return n.withColumn("slot", F.element_at(F.array(*[F.lit(k) for k in live]), turn + 1))
+
+
+# Titles that name nothing, names of the sheets of known tables, and labels of table types.
+NO_TITLES = ("doc", "inline_text")
+ROLE_SHEETS = {"source_info_table": "업체정보", "material_quantity_table": "물량산출표"}
+TYPE_LABELS = {"A_품셈": "품셈", "B_규모기준": "규모기준", "C_구분설명": "설명", "D_기타": "설명"}
+
+
+def type_label(kind: Column, default: str) -> Column:
+    out = F.lit(default)
+    for k, label in TYPE_LABELS.items():
+        out = F.when(kind == k, label).otherwise(out)
+    return out
+
+
+def sheet_name(role: Column, section_title: Column, title: Column, label: Column) -> Column:
+    """Base name of a table's sheet: by its role, its section with the label of its type, its title, or the label."""
+    out = F.lit(None).cast("string")
+    for r, name in ROLE_SHEETS.items():
+        out = F.when(role == r, name).otherwise(out)
+    section, own = sheet_token(section_title), sheet_token(title)
+    says = lambda t: (t != "") & ~F.lower(t).isin(*NO_TITLES)
+    of_section = F.when((label != "") & ~section.contains(label), F.concat_ws("_", section, label)).otherwise(section)
+    return F.coalesce(out, F.when(says(section), of_section).when(says(own), own).otherwise(label))
+
+
+def material_sheet_name(role: Column, kind: Column, section_title: Column, title: Column) -> Column:
+    line = F.coalesce(role == "line_list_table", F.lit(False)) | F.coalesce(kind == "BOM_LINE_LIST", F.lit(False))
+    return F.when(line, "BOM_LINE_LIST").otherwise(sheet_name(role, section_title, title, type_label(kind, "BOM_자재표")))
+
+
+def is_rate_limit(error: Column) -> Column:
+    return F.coalesce(error.contains("429") | F.lower(error).rlike("quota|rate limit"), F.lit(False))
+
+
+def fallback_mode(asked: Column, never: Column) -> Column:
+    """auto, always or never; unknown ones are auto, and a plain no wins."""
+    return F.when(F.coalesce(never, F.lit(False)), "never").when(asked.isin("auto", "always", "never"), asked).otherwise("auto")
+
+
+def token_counts(response: Column) -> Column:
+    """struct(input_tokens, output_tokens) of an answer's JSON text, 0 where it says nothing."""
+    n = lambda *paths: F.coalesce(*[F.get_json_object(response, p).try_cast("long") for p in paths], F.lit(0).cast("long"))
+    return F.struct(n("$.usage_metadata.prompt_token_count").alias("input_tokens"), n("$.usage_metadata.candidates_token_count").alias("output_tokens"))
+
+
+def reserved_name(base: Column, taken: Column) -> Column:
+    """`base`, or base_1, base_2, ..., the first that `taken`, the names in use, does not hold."""
+    n = F.size(taken)
+    tries = F.transform(F.sequence(F.lit(1), n + 1), lambda k: F.concat_ws("_", base, k.cast("string")))
+    free = F.filter(tries, lambda t: ~F.array_contains(taken, t))
+    return F.when(~F.array_contains(taken, base), base).otherwise(free[0])
