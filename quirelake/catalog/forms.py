@@ -209,3 +209,42 @@ def call_rules(s, d):
     n = reports.token_counts(answer)
     taken = F.when(F.col("id") % 3 == 0, F.array(F.lit("b"), F.lit("b_1"))).when(F.col("id") % 3 == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("b")))
     return e.select("id", reports.is_rate_limit(said).alias("rate_limit"), reports.fallback_mode(asked, F.col("total_tokens").isNull()).alias("mode"), n["input_tokens"].alias("input_tokens"), n["output_tokens"].alias("output_tokens"), reports.reserved_name(F.lit("b"), taken).alias("name"))
+
+
+@query("estimate_sheet", f"""WITH t AS (SELECT * FROM {_TABLES} WHERE domain = 'estimate' AND len(headers) > 0), c AS (SELECT {_KEY}, row_ord, col_ord, value, dense_rank() OVER (PARTITION BY {_KEY} ORDER BY row_ord) AS rn,
+    row_number() OVER (PARTITION BY {_KEY}, row_ord ORDER BY col_ord, coalesce(value, '')) AS cn FROM {_CELLS}),
+  x AS (SELECT {_KEY}, rn + 2 AS row_no, cn AS col_no, {_strip("coalesce(value, '')")} AS text FROM c SEMI JOIN t USING ({_KEY}))
+  SELECT {_KEY}, CAST(row_no AS BIGINT) AS row_no, CAST(col_no AS BIGINT) AS col_no, text, CASE WHEN col_no >= 5 AND regexp_full_match(text, '-?[0-9,]+\\.?[0-9]*') AND NOT regexp_matches(replace(text, ',', ''), '^-?0[0-9]') THEN try_cast(replace(text, ',', '') AS DOUBLE) END AS number FROM x WHERE text <> ''
+  UNION ALL SELECT {_KEY}, 2, unnest(range(1, len(headers) + 1)), unnest(list_transform(headers, lambda h: coalesce(h, ''))), NULL FROM t
+  UNION ALL SELECT t.doc_id, t.section_ord, t.table_ord, coalesce(r.n, 0) + 3, 1, '※ ' || array_to_string(notes, ' / '), NULL FROM t LEFT JOIN (SELECT {_KEY}, max(rn) AS n FROM c GROUP BY ALL) r ON r.doc_id = t.doc_id AND r.section_ord = t.section_ord AND r.table_ord = t.table_ord WHERE len(notes) > 0""")
+def estimate_sheet(s, d):
+    """Filled cells of the sheets of all estimate tables, headers and notes among them."""
+    t = contract.tables_with_rows(table(s, d, "doc_tables"), table(s, d, "doc_cells"))
+    notes = contract.distinct_tables(table(s, d, "doc_tables")).filter("domain = 'estimate'").select(*bom.TABLE, "notes")
+    e = reports.estimate_sheet(t.join(notes, bom.TABLE), bom.TABLE).filter("text <> '' or row_no = 2")
+    return e.select(*bom.TABLE, F.col("row_no").cast("long").alias("row_no"), F.col("col_no").cast("long").alias("col_no"), "text", "number")
+
+
+@query("two_columns", f"""WITH {_GRID} SELECT {_KEY}, row_ord, CASE WHEN len(cells) = 0 THEN '' WHEN len(cells) = 1 THEN cells[1] ELSE {_strip("array_to_string(cells[:len(cells) - 1], ' ')")} END AS label, CASE WHEN len(cells) < 2 THEN '' ELSE cells[len(cells)] END AS value FROM f""")
+def two_columns(s, d):
+    """Every row's filled cells as a label and a value."""
+    g = bom.grids(table(s, d, "doc_cells")).withColumn("p", T.two_columns(T.filled(F.col("row"))))
+    return g.select(*bom.TABLE, "row_ord", F.col("p")[0].alias("label"), F.col("p")[1].alias("value"))
+
+
+@query("words_outside", f"""WITH {_BOXES} SELECT a.doc_id, a.page_num, CAST(a.i AS INTEGER) AS ord FROM k a WHERE NOT EXISTS (SELECT 1 FROM k b WHERE b.doc_id = a.doc_id AND b.page_num = a.page_num AND b.i % 2 = 1 AND b.x0 <= (a.x0 + a.x1) / 2 AND (a.x0 + a.x1) / 2 <= b.x1 AND b.y0 <= (a.y0 + a.y1) / 2 AND (a.y0 + a.y1) / 2 <= b.y1)""")
+def words_outside(s, d):
+    """Blocks of every page, as words, whose middle lies in none of the page's odd blocks."""
+    b = _boxes(s, d)
+    w = b.select("doc_id", "page_num", "ord", "x0", F.col("y0").alias("top"), "x1", F.col("y1").alias("bottom"))
+    return layout.words_outside(w, b.filter("ord % 2 = 1"), ["doc_id", "page_num"]).select("doc_id", "page_num", F.col("ord").cast("int").alias("ord"))
+
+
+@query("doubled_tails", f"""WITH t AS (SELECT {_KEY}, list_transform(headers, lambda h: {_strip("coalesce(h, '')")}) AS h FROM {_TABLES} WHERE len(headers) > 1)
+  SELECT {_KEY}, array_to_string(h, chr(10)) AS names FROM t""")
+def doubled_tails(s, d):
+    """Headers with their last one doubled past the end of the sub-headers, and trimmed again."""
+    t = contract.distinct_tables(table(s, d, "doc_tables")).filter(F.size("headers") > 1).withColumn("h", F.transform("headers", lambda h: X.strip(F.coalesce(h, F.lit("")))))
+    last = F.element_at("h", -1)
+    more = F.concat("h", F.when(last == "", F.array().cast("array<string>")).otherwise(F.array(last, last)))
+    return t.select(*bom.TABLE, F.array_join(T.trim_doubled_tail(more, F.transform("h", lambda h: F.lit("x")), more), "\n").alias("names"))

@@ -222,3 +222,21 @@ def html_tables(text: Column) -> Column:
 
 def without_tables(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"(?is)<table[^>]*>.*?</table>", ""))
+
+
+def two_columns(row: Column) -> Column:
+    """A row of a label and value table: one cell gets a blank value, of more than two all but the last are the label."""
+    n = F.size(row)
+    label = F.array_join(F.slice(row, F.lit(1), F.greatest(n - 1, F.lit(0))), " ")
+    return F.when(n == 0, F.array(F.lit(""), F.lit(""))).when(n == 1, F.array(row[0], F.lit(""))).otherwise(F.array(strip(label), F.element_at(row, -1)))
+
+
+def trim_doubled_tail(parents: Column, children: Column, merged: Column) -> Column:
+    """Merged headers without parents that were repeated past the end of the sub-headers.
+
+    From the end, a header without a sub-header goes while it equals the one before it.
+    """
+    n, m = F.size(merged), F.size(children)
+    at = lambda a, i: strip(F.coalesce(F.try_element_at(a, i), F.lit("")))
+    stays = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i == 1) | (at(children, i) != "") | (at(parents, i) == "") | (at(parents, i) != at(parents, i - 1)))
+    return F.when((n < 2) | (F.size(parents) <= m), merged).otherwise(F.slice(merged, F.lit(1), F.array_max(stays)))

@@ -165,3 +165,11 @@ def line_tolerances(lines: DataFrame, by: list[str]) -> DataFrame:
     widest = F.max(F.coalesce("width", F.lit(1.0)))
     reach = F.greatest(F.lit(LEAST_TOLERANCE), widest * CORNER_WIDTHS)
     return lines.groupBy(*by).agg((reach / 2).alias("snap"), reach.alias("join_at"), reach.alias("meet"))
+
+
+def words_outside(words: DataFrame, boxes: DataFrame, by: list[str]) -> DataFrame:
+    """Words whose middle lies in no box of their page; a page's words meet that page's boxes only."""
+    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
+    own = boxes.groupBy(*by).agg(F.collect_list(F.struct(*[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])).alias("_boxes"))  # the boxes of one page
+    inside = F.exists("_boxes", lambda b: (b["b_x0"] <= x) & (x <= b["b_x1"]) & (b["b_y0"] <= y) & (y <= b["b_y1"]))
+    return words.join(own, by, "left").filter(~F.coalesce(inside, F.lit(False))).drop("_boxes")

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirelake.functions import tables as T
+from quirelake.functions.numbers import strict_number
 from quirelake.functions.text import sheet_token, strip
+from quirelake.operators.contract import row_style
 from quirelake.plans.order import bucketed_prefix_sum
 
 # Kinds of artifacts by name and suffix, first match first.
@@ -143,3 +146,23 @@ def reserved_name(base: Column, taken: Column) -> Column:
     tries = F.transform(F.sequence(F.lit(1), n + 1), lambda k: F.concat_ws("_", base, k.cast("string")))
     free = F.filter(tries, lambda t: ~F.array_contains(taken, t))
     return F.when(~F.array_contains(taken, base), base).otherwise(free[0])
+
+
+#: From this column on (from 1) the cells of an estimate sheet are numbers where they read as such.
+NUMBERS_FROM = 5
+
+
+def estimate_sheet(tables: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, row_no, col_no, text, number, style) of the cells of estimate sheets.
+
+    Row 1 is the title and row 2 the headers of a sheet; the table's rows follow,
+    each section, subtotal or body, then one row of notes if there are any.
+    """
+    t = tables.filter(F.size("headers") > 0)
+    body = t.select(*keys, "headers", F.posexplode("rows").alias("i", "row")).withColumn("style", row_style(F.col("row"), F.col("headers")))
+    cells = body.select(*keys, (F.col("i") + 3).alias("row_no"), "style", F.posexplode(T.pad(F.col("row"), F.size("headers"))).alias("j", "text"))
+    text = strip(F.coalesce("text", F.lit("")))
+    cells = cells.select(*keys, "row_no", (F.col("j") + 1).alias("col_no"), text.alias("text"), F.when(F.col("j") + 1 >= NUMBERS_FROM, strict_number(text)).alias("number"), "style")
+    heads = t.select(*keys, F.posexplode("headers").alias("j", "text")).select(*keys, F.lit(2).alias("row_no"), (F.col("j") + 1).alias("col_no"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("double").alias("number"), F.lit("header").alias("style"))
+    noted = t.filter(F.size("notes") > 0).select(*keys, (F.size("rows") + 3).alias("row_no"), F.lit(1).alias("col_no"), F.concat(F.lit("※ "), F.array_join("notes", " / ")).alias("text"), F.lit(None).cast("double").alias("number"), F.lit("note").alias("style"))
+    return cells.unionByName(heads).unionByName(noted)

@@ -137,3 +137,16 @@ text_engine.page_count = _text_pages
 def cached_pages(pages: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(hits with the cached value, misses) of pages against a cache by `key`."""
     return pages.join(cache.select(key, "value"), key), pages.join(cache.select(key), key, "left_anti")
+
+
+TOC_ENTRY = "map<string, struct<id: string, chapter: string, section: string, title: string, page: int>>"
+
+
+def read_toc(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, toc_key, id, chapter, section, title, page) of tables of contents in JSON files.
+
+    A file is {"section_map": {...}} or the map by itself; one that reads as neither gives no row.
+    """
+    t = read_texts(spark, path, "*.json")
+    own = F.from_json(F.coalesce(F.get_json_object("text", "$.section_map"), F.col("text")), TOC_ENTRY)
+    return t.select("source_file", F.explode(own).alias("toc_key", "e")).filter("e is not null").select("source_file", "toc_key", F.coalesce("e.id", "toc_key").alias("id"), "e.chapter", "e.section", "e.title", "e.page")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import re
 import zipfile
@@ -9,6 +10,7 @@ from collections.abc import Iterable
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -101,6 +103,14 @@ def read_workbook(path: str, max_rows: int = 100, max_cols: int = 50) -> tuple[l
     return out, len(rows) > max_rows
 
 
+def put(path: str, content: bytes) -> None:
+    """Write a file of a folder on any file system that Arrow knows: a plain path, or a URI such as s3:// or hdfs://."""
+    known, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    known.create_dir(place.rpartition("/")[0] or ".", recursive=True)
+    with known.open_output_stream(place) as f:
+        f.write(content)
+
+
 def write_workbooks(annotated: DataFrame, folder: str) -> DataFrame:
     """(doc_id, path, sheets): a workbook a document from the annotated tables.
 
@@ -112,8 +122,10 @@ def write_workbooks(annotated: DataFrame, folder: str) -> DataFrame:
         doc = pdf["doc_id"].iat[0]
         order = pdf.sort_values(["section_ord", "table_ord"])
         sheets = [(f"{r.role}", [list(r.headers), *[list(x) for x in r.rows]]) for r in order.itertuples()]
-        path = os.path.join(folder, f"{doc}.xlsx")
-        write_workbook(path, sheets)
+        path = f"{folder.rstrip('/')}/{doc}.xlsx"
+        buffer = io.BytesIO()
+        write_workbook(buffer, sheets)
+        put(path, buffer.getvalue())
         return pd.DataFrame([(doc, path, len(sheets))], columns=["doc_id", "path", "sheets"])
 
     return annotated.select(*TABLE, "role", "headers", "rows").groupBy("doc_id").applyInPandas(run, "doc_id string, path string, sheets int")
@@ -130,13 +142,11 @@ def write_json_sig(docs: DataFrame, folder: str) -> DataFrame:
     """(doc_id, path): every (doc_id, json) as its own UTF-8 file with byte-order mark."""
 
     def run(batches):
-        os.makedirs(folder, exist_ok=True)
         for pdf in batches:
             paths = []
             for d, j in zip(pdf["doc_id"], pdf["json"]):
-                paths.append(os.path.join(folder, f"{d}.json"))
-                with open(paths[-1], "w", encoding="utf-8-sig") as f:
-                    f.write(j)
+                paths.append(f"{folder.rstrip('/')}/{d}.json")
+                put(paths[-1], j.encode("utf-8-sig"))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "path": paths})
 
     return docs.select("doc_id", "json").mapInPandas(run, "doc_id string, path string")

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirelake.functions import grid as G
+from quirelake.functions import tables as T
 from quirelake.operators import blocks, layout, positions, reports
+from quirelake.sources import readers, sinks
 
 SPARSE = (
     "<table><thead><tr>" + "".join(f"<th rowspan='2'>{h}</th>" for h in ("ITEM", "DESCRIPTION", "SIZE", "MAT'L", "SCH", "CLASS", "ENDS", "REMARK", "TAG")) + "<th colspan='4'>WEIGHT</th><th rowspan='2'>QTY</th><th rowspan='2'>UNIT</th></tr>"
@@ -125,3 +127,45 @@ def test_reports_of_odd_inputs(spark):
     assert [r.line for r in reports.qa_report(a.limit(0).selectExpr("k AS verdict")).collect()] == ["# QA: PASS"]
     calls = spark.createDataFrame([(i,) for i in range(1, 9)], "id int")
     assert [r.slot for r in reports.serve_calls(calls, "id", 2, 2, exhausted=(0,)).orderBy("id").collect()] == [1] * 8
+
+
+def test_columns_tails_and_words(spark):
+    rows = [([],), (["a"],), (["a", "b"],), (["a", "b", "c"],)]
+    got = [list(r.o) for r in spark.createDataFrame(rows, "r array<string>").select(T.two_columns(F.col("r")).alias("o")).collect()]
+    assert got == [["", ""], ["a", ""], ["a", "b"], ["a b", "c"]]
+    tails = spark.createDataFrame([(["A", "B", "B"], ["x", "y"], ["A | x", "B | y", "B"]), (["A", "B"], ["x", "y"], ["A | x", "B | y"]), (["A", "", ""], ["x"], ["A | x", "C", "D"])], "p array<string>, c array<string>, m array<string>")
+    assert [list(r.o) for r in tails.select(T.trim_doubled_tail(F.col("p"), F.col("c"), F.col("m")).alias("o")).collect()] == [["A | x", "B | y"], ["A | x", "B | y"], ["A | x", "C", "D"]]
+    words = spark.createDataFrame([("p", 0.0, 0.0, 10.0, 10.0, "in"), ("p", 50.0, 50.0, 60.0, 60.0, "out"), ("q", 0.0, 0.0, 9.0, 9.0, "alone")], "p string, x0 double, top double, x1 double, bottom double, text string")
+    boxes = spark.createDataFrame([("p", 0.0, 0.0, 20.0, 20.0)], "p string, x0 double, y0 double, x1 double, y1 double")
+    assert {r.text for r in layout.words_outside(words, boxes, ["p"]).collect()} == {"out", "alone"}
+
+
+def test_estimate_sheet(spark):
+    t = spark.createDataFrame([("d", ["N", "명", "규", "단", "수량"], [["1", "관", None, "m", "1,200"], ["소계", "", "", "", "0012"]], ["비고"]), ("e", [], [], [])], "d string, headers array<string>, rows array<array<string>>, notes array<string>")
+    got = {(r.row_no, r.col_no): (r.text, r.number, r.style) for r in reports.estimate_sheet(t, ["d"]).collect()}
+    assert got[3, 5] == ("1,200", 1200.0, "body") and got[4, 5] == ("0012", None, "subtotal") and got[3, 1] == ("1", None, "body") and got[3, 3] == ("", None, "body")
+    assert got[2, 1] == ("N", None, "header") and got[5, 1] == ("※ 비고", None, "note") and len(got) == 16
+
+
+def test_toc_files(spark, tmp_path):
+    for name, text in (("a", '{"section_map": {"1-1": {"id": "1-1", "title": "관", "page": 3}}}'), ("b", '{"2-1": {"title": "밸브"}}'), ("c", "{bad"), ("e", "")):
+        (tmp_path / f"{name}.json").write_text(text, encoding="utf-8")
+    got = {(r.source_file, r.toc_key, r.id, r.title, r.page) for r in readers.read_toc(spark, str(tmp_path)).collect()}
+    assert got == {("a.json", "1-1", "1-1", "관", 3), ("b.json", "2-1", "2-1", "밸브", None)}
+
+
+def test_files_by_uri(tmp_path):
+    for path in (f"{tmp_path}/x/y.bin", f"file://{tmp_path}/z/y.bin"):
+        sinks.put(path, b"abc")
+    assert (tmp_path / "x" / "y.bin").read_bytes() == (tmp_path / "z" / "y.bin").read_bytes() == b"abc"
+
+
+def test_names_and_calls(spark):
+    one = lambda c: spark.range(1).select(c.alias("o")).first().o
+    lit = lambda *x: [F.lit(v) for v in x]
+    assert one(reports.sheet_name(*lit(None, "doc", None, "설명"))) == "설명" and one(reports.sheet_name(*lit("source_info_table", "x", "y", "z"))) == "업체정보"
+    assert one(reports.sheet_name(*lit(None, "배관: 일", "y", "설명"))) == "배관_ 일_설명" and one(reports.material_sheet_name(*lit(None, "BOM_LINE_LIST", "x", "y"))) == "BOM_LINE_LIST"
+    assert one(reports.is_rate_limit(F.lit(None).cast("string"))) is False and one(reports.fallback_mode(*lit(None, None))) == "auto"
+    assert tuple(one(reports.token_counts(F.lit("{bad")))) == (0, 0)
+    assert one(reports.reserved_name(F.lit("a"), F.array(*lit("a", "a_1")))) == "a_2"
+    assert one(positions.context_marker(*lit(None, "t", "c", "s"))) == ""
