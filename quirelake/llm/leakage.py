@@ -7,8 +7,9 @@ L - q + 1 - q * e q-grams with its copy, all within a diagonal band of e. Hits
 of a document are counted in overlapping diagonal bands, bands under the bound
 are dropped, and what is left is verified by a banded alignment.
 
-The items are a block of bounded size that every task holds as a sorted q-gram
-index; documents are read once a block, in place, without a shuffle.
+The items are cut into blocks of bounded size, each a sorted q-gram index. A task
+reads its documents once, in place and without a shuffle, holds a bounded part of
+them in comparable form, and goes through the blocks with it, one index at a time.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ EDITS = 1
 WORDS = 10
 #: Characters of item text held by a task at once; more items are searched in more blocks.
 BLOCK_CHARS = 4_000_000
+#: Characters of documents that a task holds while it goes through the blocks, if there is more than one.
+HELD_CHARS = 8_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _LOOKS = str.maketrans(LOOKS)
@@ -225,33 +228,42 @@ class ItemIndex:
         return max(exact, 0), max(near, exact, 0)
 
 
+class Passage:
+    """Documents in comparable form with the q-gram hashes of all their places; made once for all item blocks."""
+
+    def __init__(self, batch: pd.DataFrame) -> None:
+        self.ids = batch["doc_id"].tolist()
+        self.docs = [codes_of(plain(t)) for t in batch["text"]]
+        self.starts = np.append(0, np.cumsum(np.array([len(d) for d in self.docs], dtype=np.int64)))
+        whole = np.concatenate(self.docs) if self.docs else np.zeros(0, np.uint32)
+        self.hash = qgrams(whole)
+
+    def search(self, index: ItemIndex) -> list[tuple]:
+        """(doc_id, item_id, exact_words, near_words) of the verified pairs."""
+        hit, place = index.lookup(self.hash)
+        if not len(hit):
+            return []
+        starts, n = self.starts, len(self.docs)
+        owner = np.searchsorted(starts, hit, side="right") - 1
+        inside = hit + Q <= starts[owner + 1]
+        hit, place, owner = hit[inside], place[inside], owner[inside]
+        some = (np.bincount(owner, minlength=n) >= int(index.bound.min()))[owner]
+        hit, place, owner = hit[some], place[some], owner[some]
+        # documents in groups of bounded postings; a document is never cut
+        group = (np.cumsum(np.bincount(owner, weights=index.count[place], minlength=n)) // POSTINGS).astype(np.int64)[owner]
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for g in np.unique(group):
+            own = group == g
+            o = owner[own]
+            for d, item, low, wide, p, q in index.bands(o, hit[own] - starts[o], place[own]):
+                exact, near = index.align(self.docs[d], item, low, wide, p, q)
+                e, m = best.get((d, item), (0, 0))
+                best[d, item] = (max(e, exact), max(m, near))
+        return [(self.ids[d], index.ids[item], e, m) for (d, item), (e, m) in best.items() if m >= index.min_words]
+
+
 def scan(batch: pd.DataFrame, index: ItemIndex) -> list[tuple]:
-    """(doc_id, item_id, exact_words, near_words) of the verified pairs of a batch."""
-    texts = [plain(t) for t in batch["text"]]
-    docs = [codes_of(t) for t in texts]
-    sizes = np.array([len(d) for d in docs], dtype=np.int64)
-    starts = np.append(0, np.cumsum(sizes))
-    whole = np.concatenate(docs) if docs else np.zeros(0, np.uint32)
-    hit, place = index.lookup(qgrams(whole))
-    owner = np.searchsorted(starts, hit, side="right") - 1
-    inside = hit + Q <= starts[owner + 1] if len(hit) else hit.astype(bool)
-    hit, place, owner = hit[inside], place[inside], owner[inside]
-    smallest = int(index.bound.min()) if len(index.bound) else 1
-    enough = np.bincount(owner, minlength=len(docs)) >= smallest
-    some = enough[owner]
-    hit, place, owner = hit[some], place[some], owner[some]
-    # documents in groups of bounded postings; a document is never cut
-    load = np.bincount(owner, weights=index.count[place], minlength=len(docs)) if len(owner) else np.zeros(len(docs))
-    group = (np.cumsum(load) // POSTINGS).astype(np.int64)
-    best: dict[tuple[int, int], tuple[int, int]] = {}
-    for g in np.unique(group[owner]):
-        own = group[owner] == g
-        o = owner[own]
-        for d, item, low, wide, p, q in index.bands(o, hit[own] - starts[o], place[own]):
-            exact, near = index.align(docs[d], item, low, wide, p, q)
-            e, n = best.get((d, item), (0, 0))
-            best[d, item] = (max(e, exact), max(n, near))
-    return [(batch["doc_id"].iat[d], index.ids[item], e, n) for (d, item), (e, n) in best.items() if n >= index.min_words]
+    return Passage(batch).search(index)
 
 
 def leaks(docs: DataFrame, items: DataFrame, edits: int = EDITS, min_words: int = WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -268,20 +280,32 @@ def leaks(docs: DataFrame, items: DataFrame, edits: int = EDITS, min_words: int
     blocks = max(1, -(-int(total) // block_chars))
     id_type = dict(items.dtypes)["item_id"]
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {id_type}, exact_words int, near_words int"
-    parts = []
+    shared = []
     for k in range(blocks):
         own = known.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).select("item_id", "text").distinct()
-        shared = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = ItemIndex(shared.value, edits, min_words)
-            for pdf in batches:
-                yield pd.DataFrame(scan(pdf, index), columns=["doc_id", "item_id", "exact_words", "near_words"])
-
-        parts.append(docs.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(run, schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        shared.append(spark.sparkContext.broadcast([tuple(r) for r in own.collect()]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        indexes: dict[int, ItemIndex] = {}
+
+        def found(passages: list[Passage]) -> Iterator[pd.DataFrame]:
+            for k, items_of in enumerate(shared):
+                if k not in indexes:
+                    indexes.clear()  # one index is held at a time
+                    indexes[k] = ItemIndex(items_of.value, edits, min_words)
+                for p in passages:
+                    yield pd.DataFrame(p.search(indexes[k]), columns=["doc_id", "item_id", "exact_words", "near_words"])
+
+        held, size = [], 0
+        for pdf in batches:
+            held.append(Passage(pdf))
+            size += int(held[-1].starts[-1])
+            if size >= HELD_CHARS or blocks == 1:
+                yield from found(held)
+                held, size = [], 0
+        yield from found(held)
+
+    out = docs.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(run, schema)
     return out.groupBy("doc_id", "item_id").agg(F.max("exact_words").alias("exact_words"), F.max("near_words").alias("near_words"))
 
 
