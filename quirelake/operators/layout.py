@@ -173,3 +173,38 @@ def words_outside(words: DataFrame, boxes: DataFrame, by: list[str]) -> DataFram
     own = boxes.groupBy(*by).agg(F.collect_list(F.struct(*[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])).alias("_boxes"))  # the boxes of one page
     inside = F.exists("_boxes", lambda b: (b["b_x0"] <= x) & (x <= b["b_x1"]) & (b["b_y0"] <= y) & (y <= b["b_y1"]))
     return words.join(own, by, "left").filter(~F.coalesce(inside, F.lit(False))).drop("_boxes")
+
+
+#: Of a header row of loose words: fewest and most words, their mean length, and the share of the page they span.
+HEADER_WORDS, HEADER_LENGTH, HEADER_SPAN = (2, 8), 15, 0.3
+#: Words and rows that a page with a table of loose words has at least.
+PAGE_WORDS, TABLE_ROWS = 6, 3
+
+
+def aligned_tables(words: DataFrame, by: list[str], page_width: float) -> tuple[DataFrame, DataFrame]:
+    """Tables of words that stand below each other, one a page: (cells, boxes).
+
+    `words` is (by, row_no, word_ord, text, x0, top, x1, bottom), see word_rows. The
+    first row that looks like a header gives the columns; each later word joins
+    the column whose centre is nearest, within 15. cells is (by, row_no, col, text),
+    rows counted from the header; boxes (by, x0, y0, x1, y1). Only a page's at most
+    eight header words meet its words.
+    """
+    span = F.max("x1") - F.min("x0")
+    rows = words.groupBy(*by, "row_no").agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("text")).alias("length"), span.alias("span"))
+    fits = F.col("n").between(*HEADER_WORDS) & (F.col("length") < HEADER_LENGTH) & (F.col("span") > page_width * HEADER_SPAN)
+    page = rows.groupBy(*by).agg(F.min(F.when(fits, F.col("row_no"))).alias("head"), F.sum("n").alias("words"), F.count(F.lit(1)).alias("rows"), F.collect_set("row_no").alias("nos"))
+    page = page.filter(F.col("head").isNotNull() & (F.col("words") >= PAGE_WORDS) & (F.size(F.filter("nos", lambda i: i >= F.col("head"))) >= TABLE_ROWS)).select(*by, "head")
+    own = words.join(page, by).filter("row_no >= head")
+    heads = own.filter("row_no = head").groupBy(*by).agg(F.array_sort(F.collect_list((F.col("x0") + F.col("x1")) / 2)).alias("c")).select(*by, F.posexplode("c").alias("col", "x"))
+    placed = nearest_column(own, heads, by).filter("col is not null")
+    cells = placed.groupBy(*by, (F.col("row_no") - F.col("head")).alias("row_no"), "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word_ord", "text"))), lambda x: x["text"]), " ").alias("text"))
+    return cells, bounding_box(own, by)
+
+
+def found_tables(ruled: DataFrame, aligned: DataFrame, by: list[str]) -> DataFrame:
+    """(by, ord, x0, y0, x1, y1): ruled tables, and tables of loose words that repeat none of them."""
+    cols = ["x0", "y0", "x1", "y1"]
+    both = ruled.select(*by, F.lit(0).alias("_p"), *cols).unionByName(aligned.select(*by, F.lit(1).alias("_p"), *cols))
+    w = Window.partitionBy(*by).orderBy("_p", "y0", "x0", "y1", "x1")
+    return dedupe_boxes(both.select(*by, (F.row_number().over(w) - 1).alias("ord"), *cols), by)

@@ -169,3 +169,17 @@ def test_names_and_calls(spark):
     assert tuple(one(reports.token_counts(F.lit("{bad")))) == (0, 0)
     assert one(reports.reserved_name(F.lit("a"), F.array(*lit("a", "a_1")))) == "a_2"
     assert one(positions.context_marker(*lit(None, "t", "c", "s"))) == ""
+
+
+def test_tables_of_loose_words(spark):
+    def row(i, *words):
+        return [("p", 100 * i + k, t, float(x), 12.0 * i, float(x) + 10, 12.0 * i + 8) for k, (t, x) in enumerate(words)]
+
+    rows = row(0, ("제목이 아주 길어서 머리가 되지 않는 줄", 10), ("이것도 머리가 되지 않는 아주 긴 낱말", 300)) + row(1, ("NO", 10), ("NAME", 150), ("QTY", 300)) + row(2, ("1", 11), ("PIPE", 145), ("100A", 156), ("2", 302)) + row(3, ("2", 11), ("far", 230))
+    other = [("q", 1, "a", 0.0, 0.0, 5.0, 5.0)]
+    words = spark.createDataFrame(rows + other, "d string, word_ord int, text string, x0 double, top double, x1 double, bottom double")
+    cells, boxes = layout.aligned_tables(layout.word_rows(words, ["d"]), ["d"], 600.0)
+    assert {(r.row_no, r.col): r.text for r in cells.collect()} == {(0, 0): "NO", (0, 1): "NAME", (0, 2): "QTY", (1, 0): "1", (1, 1): "PIPE 100A", (1, 2): "2", (2, 0): "2"}
+    assert [tuple(r) for r in boxes.collect()] == [("p", 10.0, 12.0, 312.0, 44.0)]
+    ruled = spark.createDataFrame([("p", 10.0, 12.0, 311.0, 43.0), ("p", 400.0, 400.0, 500.0, 500.0)], "d string, x0 double, y0 double, x1 double, y1 double")
+    assert layout.found_tables(ruled, boxes, ["d"]).count() == 2 and layout.found_tables(ruled.limit(0), boxes, ["d"]).count() == 1
