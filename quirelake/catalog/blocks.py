@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from quirelake.functions import keywords as K
 from quirelake.functions import tables as T
 from quirelake.functions import text as X
 from quirelake.operators import blocks, bom, contract, reports
+from quirelake.plans.lineage import checkpoint_dir, cut
+from quirelake.sources import sinks
 from quirelake.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -258,3 +261,40 @@ def key_exhaustion(s, d):
     """Calls in order over four keys of seven calls each, the third of which is used up: its turns go to the next."""
     e = table(s, d, "usage_events").select("id").distinct()
     return reports.serve_calls(e, "id", keys=4, quota=7, exhausted=(2,)).select("id", "slot")
+
+
+@query("workbook_values", f"""SELECT doc_id, count(*) FILTER (WHERE {_strip("coalesce(value, '')")} <> '') AS json_values, count(*) FILTER (WHERE {_strip("coalesce(value, '')")} <> '') AS sheet_values, false AS loss
+  FROM {_CELLS} SEMI JOIN (SELECT {_KEY} FROM doc_tables) USING ({_KEY}) GROUP BY doc_id""")
+def workbook_values(s, d):
+    """Values of every document's tables against those of the workbook written from them and read back."""
+    a = cut(contract.tables_with_rows(table(s, d, "doc_tables"), table(s, d, "doc_cells")).filter(F.size("rows") > 0).withColumn("role", F.coalesce("saved_role", F.lit("table"))))
+    folder = f"{checkpoint_dir(s)}/quirelake-books-{uuid.uuid4().hex}"
+    written = cut(sinks.write_workbooks(a, folder if "://" in folder else folder.removeprefix("file:")))
+    n = a.groupBy("doc_id").agg(F.sum(F.size(F.filter(F.flatten("rows"), lambda x: X.strip(F.coalesce(x, F.lit(""))) != ""))).alias("json_values"))
+    j = n.join(sinks.workbook_values(written), "doc_id")
+    return j.select("doc_id", F.col("json_values").cast("long").alias("json_values"), "sheet_values", (F.col("sheet_values") < F.col("json_values")).alias("loss"))
+
+
+_MANIFEST = """m AS (SELECT coalesce(series, '') AS run_id, CASE WHEN file_id % 4 = 0 THEN '_compare/' ELSE '' END || coalesce(source_file, '') AS json, CASE WHEN file_id % 4 = 0 OR file_id % 7 = 0 THEN 'diagnostic' ELSE 'representative' END AS role,
+  CASE WHEN file_id % 3 = 0 THEN 'estimate' ELSE 'bom' END AS domain, CASE WHEN received_at IS NULL THEN 'fail' ELSE 'ok' END AS quality_status FROM (SELECT DISTINCT file_id, series, source_file, received_at FROM export_files))"""
+
+
+def _manifest(s: SparkSession, d: str) -> DataFrame:
+    f = table(s, d, "export_files").select("file_id", "series", "source_file", "received_at").distinct()
+    part = lambda k: F.col("file_id") % k == 0
+    return f.select(
+        F.coalesce("series", F.lit("")).alias("run_id"), F.concat(F.when(part(4), "_compare/").otherwise(""), F.coalesce("source_file", F.lit(""))).alias("json"), F.when(part(4) | part(7), "diagnostic").otherwise("representative").alias("role"),
+        F.when(part(3), "estimate").otherwise("bom").alias("domain"), F.when(F.col("received_at").isNull(), "fail").otherwise("ok").alias("quality_status"),
+    )
+
+
+@query("manifest_roles", f"WITH {_MANIFEST} SELECT run_id, count(*) AS entries, count_if(role = 'representative') AS representative, count_if(role = 'diagnostic') AS diagnostic, count_if(quality_status = 'fail') AS failed FROM m GROUP BY run_id")
+def manifest_roles(s, d):
+    """Entries of every run's manifest by the role that the manifest gives."""
+    return reports.manifest_counts(_manifest(s, d))
+
+
+@query("manifest_boms", f"WITH {_MANIFEST} SELECT DISTINCT run_id, json FROM m WHERE role = 'representative' AND domain = 'bom' AND NOT list_contains(string_split(json, '/'), '_compare')")
+def manifest_boms(s, d):
+    """The files of every run that a roll-up of bills of materials reads."""
+    return reports.representative_jsons(_manifest(s, d))

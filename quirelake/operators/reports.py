@@ -166,3 +166,17 @@ def estimate_sheet(tables: DataFrame, keys: list[str]) -> DataFrame:
     heads = t.select(*keys, F.posexplode("headers").alias("j", "text")).select(*keys, F.lit(2).alias("row_no"), (F.col("j") + 1).alias("col_no"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("double").alias("number"), F.lit("header").alias("style"))
     noted = t.filter(F.size("notes") > 0).select(*keys, (F.size("rows") + 3).alias("row_no"), F.lit(1).alias("col_no"), F.concat(F.lit("※ "), F.array_join("notes", " / ")).alias("text"), F.lit(None).cast("double").alias("number"), F.lit("note").alias("style"))
     return cells.unionByName(heads).unionByName(noted)
+
+
+def manifest_counts(manifest: DataFrame) -> DataFrame:
+    """(run_id, entries, representative, diagnostic, failed) of a manifest's entries by the role they were given."""
+    return manifest.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("entries"), F.count_if(F.col("role") == "representative").alias("representative"), F.count_if(F.col("role") == "diagnostic").alias("diagnostic"),
+        F.count_if(F.coalesce(F.col("quality_status") == "fail", F.lit(False))).alias("failed"),
+    )
+
+
+def representative_jsons(manifest: DataFrame, domain: str = "bom") -> DataFrame:
+    """(run_id, json): the files that are rolled up: representative entries of a domain, those of comparisons left out, once each."""
+    own = (F.col("role") == "representative") & (F.col("domain") == domain) & F.col("json").isNotNull()
+    return manifest.filter(own & ~F.array_contains(F.split("json", "/"), COMPARED)).select("run_id", "json").distinct()

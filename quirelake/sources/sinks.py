@@ -131,6 +131,38 @@ def write_workbooks(annotated: DataFrame, folder: str) -> DataFrame:
     return annotated.select(*TABLE, "role", "headers", "rows").groupBy("doc_id").applyInPandas(run, "doc_id string, path string, sheets int")
 
 
+def sheet_values(content: bytes, first_row: int = 2) -> int:
+    """Cells of all sheets of a workbook, from row `first_row` on, that are not blank."""
+    n = 0
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        shared = re.findall(r"(?s)<si>(.*?)</si>", z.read("xl/sharedStrings.xml").decode()) if "xl/sharedStrings.xml" in z.namelist() else []
+        for name in z.namelist():
+            if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", name):
+                for row, cells in re.findall(r'(?s)<row r="(\d+)"[^>]*>(.*?)</row>', z.read(name).decode()):
+                    if int(row) >= first_row:
+                        for attrs, body in re.findall(r"(?s)<c([^>]*)>(.*?)</c>", cells):
+                            v = re.search(r"(?s)<v>(.*?)</v>", body)
+                            if v and 't="s"' in attrs:
+                                body = shared[int(v.group(1))]
+                            n += re.sub(r"<[^>]+>", "", body).strip() != ""
+    return n
+
+
+def workbook_values(written: DataFrame) -> DataFrame:
+    """(doc_id, path, sheet_values) of written workbooks, each read by one task."""
+
+    def run(batches):
+        for pdf in batches:
+            counts = []
+            for path in pdf["path"]:
+                known, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                with known.open_input_file(place) as f:
+                    counts.append(sheet_values(f.read()))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "path": pdf["path"], "sheet_values": counts})
+
+    return written.select("doc_id", "path").mapInPandas(run, "doc_id string, path string, sheet_values long")
+
+
 def section_json(sections: DataFrame, tables: DataFrame) -> DataFrame:
     """(doc_id, json): sections with their tables nested, in order, as one JSON text a document."""
     t = tables.groupBy("doc_id", "section_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("table_ord", "headers", "rows", "domain", "role"))), lambda x: x).alias("tables"))

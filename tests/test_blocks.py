@@ -183,3 +183,11 @@ def test_tables_of_loose_words(spark):
     assert [tuple(r) for r in boxes.collect()] == [("p", 10.0, 12.0, 312.0, 44.0)]
     ruled = spark.createDataFrame([("p", 10.0, 12.0, 311.0, 43.0), ("p", 400.0, 400.0, 500.0, 500.0)], "d string, x0 double, y0 double, x1 double, y1 double")
     assert layout.found_tables(ruled, boxes, ["d"]).count() == 2 and layout.found_tables(ruled.limit(0), boxes, ["d"]).count() == 1
+
+
+def test_values_of_workbooks(spark, tmp_path):
+    path = str(tmp_path / "a.xlsx")
+    sinks.write_workbook(path, [("s", [["H", "I"], ["a", ""], [None, 5]]), ("t", [["x"], ["  "], ["&<"]])])
+    assert sinks.sheet_values(open(path, "rb").read()) == 3 and sinks.sheet_values(open(path, "rb").read(), 1) == 6
+    got = sinks.workbook_values(spark.createDataFrame([("d", path), ("e", f"file://{path}")], "doc_id string, path string")).collect()
+    assert [r.sheet_values for r in got] == [3, 3]
