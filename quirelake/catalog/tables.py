@@ -51,7 +51,7 @@ def _strings(words) -> str:
 
 _ALIAS = "CASE " + " ".join(f"WHEN h IN ({_strings(v)}) THEN '{k}'" for k, v in K.BOM_ALIASES.items()) + " END"
 _BOM_ROWS = f"""
-c AS (SELECT *, upper({_strip("translate(header, '’‘', '''''')")}) AS h FROM {_CELLS} SEMI JOIN (SELECT {_KEY} FROM doc_tables WHERE domain = 'bom' AND type <> 'BOM_LINE_LIST') USING ({_KEY})),
+c AS (SELECT *, upper({_strip("translate(header, '’‘', '''''')")}) AS h FROM {_CELLS} SEMI JOIN (SELECT {_KEY} FROM doc_tables WHERE domain = 'bom' AND type IS DISTINCT FROM 'BOM_LINE_LIST') USING ({_KEY})),
 k AS (SELECT *, {_ALIAS} AS k FROM c),
 r AS (SELECT {_KEY}, row_ord, {", ".join(f"coalesce(arg_min(coalesce(value, ''), col_ord) FILTER (WHERE k = '{k}'), '') AS {a}" for k, a in (("SIZE", "size"), ("MATERIAL", "material"), ("DESCRIPTION", "description"), ("QUANTITY", "q"), ("WEIGHT", "w")))}
       FROM k WHERE k IS NOT NULL GROUP BY ALL),
@@ -67,6 +67,18 @@ def bom_aggregate(s, d):
     return bom.aggregate_boms(rows, ["doc_id", "section_ord", "table_ord", "row_ord"])
 
 
+_ALL_ROWS = _BOM_ROWS.replace("domain = 'bom' AND", "(domain IN ('estimate', 'bom') OR domain IS NULL) AND")
+
+
+@query("bom_aggregate_all", f"""WITH {_ALL_ROWS} SELECT CAST(row_number() OVER (ORDER BY encode(size), encode(material)) AS BIGINT) AS item_no, * FROM (
+  SELECT size, material, arg_min(description, (doc_id, section_ord, table_ord, row_ord)) AS description, round(sum(qty), 2) AS qty, round(sum(weight), 2) AS weight
+  FROM b WHERE (size <> '' OR material <> '') AND (qty <> 0 OR weight <> 0) GROUP BY size, material)""")
+def bom_aggregate_all(s, d):
+    """The roll-up over estimates and tables without a domain too, as files are aggregated."""
+    rows = bom.bom_rows(table(s, d, "doc_cells"), table(s, d, "doc_tables"), ("bom", "estimate", None))
+    return bom.aggregate_boms(rows, ["doc_id", "section_ord", "table_ord", "row_ord"])
+
+
 @query("bom_rows", f"WITH {_BOM_ROWS} SELECT * FROM b")
 def bom_rows(s, d):
     return bom.bom_rows(table(s, d, "doc_cells"), table(s, d, "doc_tables"))

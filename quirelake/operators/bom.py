@@ -36,13 +36,15 @@ def canonical_header(header: Column, aliases: dict[str, tuple[str, ...]] = K.BOM
     return out
 
 
-def bom_rows(cells: DataFrame, tables: DataFrame) -> DataFrame:
-    """(table key, row_ord, size, material, description, qty, weight) of material tables.
+def bom_rows(cells: DataFrame, tables: DataFrame, domains: tuple[str | None, ...] = ("bom",)) -> DataFrame:
+    """(table key, row_ord, size, material, description, qty, weight) of the tables of `domains`, line lists left out.
 
     The first column of a name counts; missing ones are blank. Only cells of the
     roll-up's columns are shuffled.
     """
-    own = tables.filter("domain = 'bom' and type <> 'BOM_LINE_LIST'").select(*TABLE).distinct()
+    named = F.col("domain").isin(*[d for d in domains if d is not None])
+    wanted = named | F.col("domain").isNull() if None in domains else named
+    own = tables.filter(wanted & ~F.col("type").eqNullSafe("BOM_LINE_LIST")).select(*TABLE).distinct()
     c = distinct_cells(cells.filter(canonical_header(F.col("header")).isNotNull())).withColumn("k", canonical_header(F.col("header")))
     c = c.join(own, TABLE, "left_semi")
     pick = lambda k: F.coalesce(F.min_by(F.when(F.col("k") == k, F.coalesce("value", F.lit(""))), F.when(F.col("k") == k, F.col("col_ord"))), F.lit(""))
