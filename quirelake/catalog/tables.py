@@ -94,7 +94,10 @@ def bom_pipe_roundtrip(s, d):
     rows = rows.withColumn("line", F.regexp_replace(line, r"^\| \| ", "| ")).withColumn("line", F.regexp_replace("line", r" \| \|$", " |"))
     head = "| SIZE | MATL | Q'TY | WT(KG) | DESCRIPTION |\n|---|---|---|---|---|\n"
     docs = rows.groupBy("l_orderkey").agg(F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_list("line")), "\n")).alias("md"))
-    grid = docs.select("l_orderkey", T.pipe_rows(F.col("md")).alias("g")).select("l_orderkey", F.transform(F.col("g")[0], lambda h: bom.canonical_header(h)).alias("headers"), F.posexplode(F.slice("g", F.lit(2), F.size("g"))).alias("row_ord", "row"))
+    # explode keeps the parsed grid and its header as values; else both are computed again for every row
+    parsed = docs.select("l_orderkey", F.explode(F.array(T.pipe_rows(F.col("md")))).alias("g"))
+    named = parsed.select("l_orderkey", "g", F.explode(F.array(F.transform(F.col("g")[0], lambda h: bom.canonical_header(h)))).alias("headers"))
+    grid = named.select("l_orderkey", "headers", F.posexplode(F.slice("g", F.lit(2), F.size("g"))).alias("row_ord", "row"))
     m = T.row_map(F.col("headers"), F.col("row"))
     out = grid.select("l_orderkey", "row_ord", m.alias("m")).select("l_orderkey", "row_ord", F.col("m")["SIZE"].alias("size"), F.col("m")["MATERIAL"].alias("material"), F.col("m")["DESCRIPTION"].alias("description"), *[bom.lenient_number(F.col("m")[k]).alias(a) for k, a in (("QUANTITY", "qty"), ("WEIGHT", "weight"))])
     return bom.aggregate_boms(out, ["description"])
