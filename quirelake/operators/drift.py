@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,6 +35,16 @@ DEEPEST = 100
 
 
 def _hash(value) -> int:
+    if isinstance(value, (dict, list)):
+        return _digest(pl.canonical(value))
+    if isinstance(value, str) and len(value) > 200:
+        return _scalar_hash.__wrapped__(str, value)  # long texts are not remembered
+    return _scalar_hash(type(value), value)
+
+
+@lru_cache(maxsize=1 << 16)
+def _scalar_hash(_, value) -> int:
+    """Numbers, and texts that read as numbers, hash alike; values of a column return file after file."""
     kind = pl.kind_of(value)
     text = pl.text_of(value).strip()
     if kind in ("number", "text"):
@@ -42,6 +53,10 @@ def _hash(value) -> int:
             text = repr(float(plain)) if plain and plain[0] in "0123456789-+." else text
         except ValueError:
             pass
+    return _digest(text)
+
+
+def _digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
@@ -67,11 +82,14 @@ def profile_columns(headers: list, rows: list) -> list[dict]:
         h = pl.text_of(h)
         if h is None:
             continue
-        at.setdefault((h,), {"path": (h,), "kinds": set(), "hashes": []})
+        own = at.setdefault((h,), {"path": (h,), "kinds": set(), "hashes": []})
         for r in rows:
             v = r.get(h) if isinstance(r, dict) else (r[i] if isinstance(r, list) and i < len(r) else None)
-            if not pl.is_empty(v):
+            if isinstance(v, (dict, list)):
                 _visit((h,), v, at)
+            elif not pl.is_empty(v):
+                own["kinds"].add(pl.kind_of(v))
+                own["hashes"].append(_hash(v))
     return [{"path": list(c["path"]), "kinds": sorted(c["kinds"]), "hashes": c["hashes"]} for c in at.values()]
 
 
