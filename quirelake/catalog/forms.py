@@ -248,3 +248,12 @@ def doubled_tails(s, d):
     last = F.element_at("h", -1)
     more = F.concat("h", F.when(last == "", F.array().cast("array<string>")).otherwise(F.array(last, last)))
     return t.select(*bom.TABLE, F.array_join(T.trim_doubled_tail(more, F.transform("h", lambda h: F.lit("x")), more), "\n").alias("names"))
+
+
+@query("unique_notes", f"""WITH n AS (SELECT doc_id, section_ord, table_ord, unnest(notes) AS note FROM {_TABLES}), k AS (SELECT *, regexp_replace(note, '{_S}+', '', 'g') AS k FROM n WHERE note IS NOT NULL)
+  SELECT DISTINCT a.doc_id, a.section_ord, a.note FROM k a WHERE a.table_ord > 0 AND NOT EXISTS (SELECT 1 FROM k b WHERE b.doc_id = a.doc_id AND b.section_ord = a.section_ord AND b.table_ord = 0 AND a.k <> '' AND b.k <> '' AND (contains(a.k, b.k) OR contains(b.k, a.k)))""")
+def unique_notes(s, d):
+    """Notes of the later tables of every section that repeat none of its first table."""
+    n = contract.distinct_tables(table(s, d, "doc_tables")).select(*bom.TABLE, F.explode("notes").alias("note")).filter("note is not null")
+    later = n.filter("table_ord > 0").select("doc_id", "section_ord", "note").distinct()
+    return metadata.unique_notes(later, n.filter("table_ord = 0"), ["doc_id", "section_ord"]).select("doc_id", "section_ord", "note")

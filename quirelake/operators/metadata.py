@@ -183,3 +183,17 @@ def unpivoted_title_block(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, field, value) of the fields found."""
     names = [n for n, _ in TITLE_FIELDS]
     return docs.select(key, title_block(F.col(text)).alias("b")).select(key, "b.*").unpivot([key], names, "field", "value").filter("value is not null")
+
+
+def unique_notes(notes: DataFrame, table_notes: DataFrame, by: list[str], note: str = "note") -> DataFrame:
+    """`notes` without those that repeat a note set into a table of their section.
+
+    One repeats the other if, blanks aside, the shorter of the two stands in the
+    longer one. The table notes of one section travel as one array; a note that is
+    blank repeats nothing.
+    """
+    squeeze = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    held = table_notes.select(*by, squeeze(note).alias("_t")).filter("_t <> ''").groupBy(*by).agg(F.collect_set("_t").alias("_held"))
+    own = squeeze(note)
+    repeats = F.exists("_held", lambda t: t.contains(own) | own.contains(t)) & (own != "")
+    return notes.join(held, by, "left").filter(~F.coalesce(repeats, F.lit(False))).drop("_held")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import grid as G
 from quirelake.functions import tables as T
-from quirelake.operators import blocks, layout, positions, reports
+from quirelake.operators import blocks, layout, metadata, positions, reports
 from quirelake.sources import readers, sinks
 
 SPARSE = (
@@ -191,3 +191,9 @@ def test_values_of_workbooks(spark, tmp_path):
     assert sinks.sheet_values(open(path, "rb").read()) == 3 and sinks.sheet_values(open(path, "rb").read(), 1) == 6
     got = sinks.workbook_values(spark.createDataFrame([("d", path), ("e", f"file://{path}")], "doc_id string, path string")).collect()
     assert [r.sheet_values for r in got] == [3, 3]
+
+
+def test_notes_that_repeat_a_table(spark):
+    n = spark.createDataFrame([("a", "가 나 다"), ("a", "다른 말"), ("a", " "), ("a", None), ("b", "가나다")], "d string, note string")
+    t = spark.createDataFrame([("a", "[주] 가나 다 라"), ("a", ""), ("a", None), ("b", "나\n다")], "d string, note string")
+    assert {(r.d, r.note) for r in metadata.unique_notes(n, t, ["d"]).collect()} == {("a", "다른 말"), ("a", " "), ("a", None)}
