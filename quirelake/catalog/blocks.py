@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from quirelake.functions import keywords as K
 from quirelake.functions import tables as T
 from quirelake.functions import text as X
 from quirelake.operators import blocks, bom, contract, reports
-from quirelake.plans.lineage import checkpoint_dir, cut
+from quirelake.plans.lineage import cut, scratch
 from quirelake.sources import sinks
 from quirelake.sources.tables import table
 
@@ -268,7 +267,7 @@ def key_exhaustion(s, d):
 def workbook_values(s, d):
     """Values of every document's tables against those of the workbook written from them and read back."""
     a = cut(contract.tables_with_rows(table(s, d, "doc_tables"), table(s, d, "doc_cells")).filter(F.size("rows") > 0).withColumn("role", F.coalesce("saved_role", F.lit("table"))))
-    folder = f"{checkpoint_dir(s)}/quirelake-books-{uuid.uuid4().hex}"
+    folder = scratch(s, "books")
     written = cut(sinks.write_workbooks(a, folder if "://" in folder else folder.removeprefix("file:")))
     n = a.groupBy("doc_id").agg(F.sum(F.size(F.filter(F.flatten("rows"), lambda x: X.strip(F.coalesce(x, F.lit(""))) != ""))).alias("json_values"))
     j = n.join(sinks.workbook_values(written), "doc_id")

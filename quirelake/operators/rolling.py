@@ -10,12 +10,10 @@ a query is one equi-join of (entity, level, idx) instead of a range join.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.plans.lineage import checkpoint_dir, cut
+from quirelake.plans.lineage import cut, scratch
 from quirelake.plans.sizes import broadcast_if_small
 
 #: A shard spans 2^TOP_LEVEL days; shards are the unit that a late correction rewrites.
@@ -159,7 +157,7 @@ def usage_corrected(events: DataFrame, void: Column) -> DataFrame:
     stays in the calendar.
     """
     spark = events.sparkSession
-    path = f"{checkpoint_dir(spark)}/quirelake-tree-{uuid.uuid4().hex}"
+    path = scratch(spark, "tree")
     store_tree(build_tree(daily_leaves(events)), path)
     withdrawn = daily_leaves(events.filter(void)).select("entity", "day", *[(-F.col(c)).cast(k).alias(c) for c, k in (("calls", "long"), ("tokens", "long"), ("cost", COST))])
     correct_stored(spark, path, withdrawn)

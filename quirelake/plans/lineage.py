@@ -29,6 +29,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, deleted when the JVM of the driver ends or by `release`."""
+    path = f"{checkpoint_dir(spark)}/quirelake-{name}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(place)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` written as a Parquet table to the shared checkpoint folder and read back.
 
@@ -37,16 +46,12 @@ def cut(df: DataFrame) -> DataFrame:
     when the JVM of the driver ends, or with `release`.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/quirelake-{uuid.uuid4().hex}"
+    path = scratch(spark, "cut")
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete all tables that `cut` has written; results that read them must have been stored."""
+    """Delete all that `scratch` and `cut` have written; results that read it must have been stored."""
     for place in _written.pop(spark.sparkContext.applicationId, []):
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirelake.operators import bom, cache, contract, layout, ledger, positions, toc
+from quirelake.plans import lineage, sizes
+from quirelake.plans.order import bucketed_last
 from quirelake.sources import readers, sinks
 from quirelake.streaming import ledger as stream
 
@@ -189,3 +191,30 @@ def test_segments_and_gaps(spark):
     assert [r.grp for r in g.orderBy("t").collect()] == [1, 1, 2]
     c = positions.carried(spark.createDataFrame([(1, 1, "x"), (1, 2, " "), (1, 3, None)], "d int, o int, c string"), ["d"], ["o"], "c", "k")
     assert [r.k for r in c.orderBy("o").collect()] == ["x", "x", "x"]
+
+
+def test_cut_tables_and_release(spark):
+    df = spark.createDataFrame([(1, "가", [1.5], None), (None, None, None, {"a": 1})], "i bigint, s string, a array<double>, m map<string, int>")
+    got = lineage.cut(df)
+    assert got.schema == df.schema and sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
+    assert lineage.cut(df.limit(0)).collect() == []
+    place = lineage.scratch(spark, "test")
+    df.write.parquet(place)
+    lineage.release(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(place)
+
+
+def test_broadcasts_have_two_bounds(spark):
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    few = spark.range(10)
+    wide = spark.range(10).withColumn("s", F.repeat(F.lit("x"), 1000)).withColumn("a", F.array("s", "s"))
+    assert hinted(sizes.broadcast_if_small(few)) and not hinted(sizes.broadcast_if_small(few, max_rows=9))
+    assert hinted(sizes.broadcast_if_small(wide)) and not hinted(sizes.broadcast_if_small(wide, max_bytes=20_000))
+    assert hinted(sizes.broadcast_if_small(wide.limit(0)))
+
+
+def test_last_value_over_buckets(spark):
+    rows = [("a", i, float(i) if i % 7 == 0 else None) for i in range(40)] + [("b", 3, None), ("b", 30, 1.0)]
+    got = bucketed_last(spark.createDataFrame(rows, "k string, t int, v double"), ["k"], F.floor(F.col("t") / 5), ["t"], "v", "last").collect()
+    assert {(r.k, r.t): r.last for r in got} == {**{("a", i): float(i - i % 7) for i in range(40)}, ("b", 3): None, ("b", 30): 1.0}
