@@ -258,8 +258,12 @@ def _unit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": docs, "seg": [xxh64_intdigest(k.encode("utf-8", "surrogatepass")) - (1 << 63) for k in keys], "key": keys})
 
 
-def _distinct_grams(keys: list[str]) -> np.ndarray:
-    return np.array([len({k[i : i + 3] for i in range(len(k) - 2)}) for k in (f"  {k} " for k in keys)], dtype=np.int64)
+def _distinct_grams(h: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Distinct trigrams of each key; 44 bits of a hash tell those of one key apart."""
+    owner = np.repeat(np.arange(len(grams), dtype=np.uint64), grams)
+    packed = np.sort((owner << np.uint64(44)) | (h >> np.uint64(20)))
+    new = np.append(True, packed[1:] != packed[:-1])
+    return np.bincount((packed[new] >> np.uint64(44)).astype(np.int64), minlength=len(grams))
 
 
 def _fingerprint_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,7 +271,8 @@ def _fingerprint_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
         for i in range(0, len(pdf), 1000):
             part = pdf.iloc[i : i + 1000]
             keys = part["key"].tolist()
-            yield part.assign(fp=simhashes(keys), z=size_class(_distinct_grams(keys)).astype(np.int32))
+            h, n = _gram_hashes(keys)
+            yield part.assign(fp=_packed(_margins(h, n)), z=size_class(_distinct_grams(h, n)).astype(np.int32))
 
 
 def fingerprints(keys: DataFrame) -> DataFrame:
@@ -280,9 +285,10 @@ def _probe_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i in range(0, len(pdf), 200):
             part = pdf.iloc[i : i + 200]
             keys = part["key"].tolist()
-            m = _margins(*_gram_hashes(keys))
+            h, grams = _gram_hashes(keys)
+            m = _margins(h, grams)
             p = probes(m) | (np.arange(TABLES)[None, :, None] << PART)
-            z = size_class(_distinct_grams(keys))
+            z = size_class(_distinct_grams(h, grams))
             p = p[:, None] | ((z[:, None] + np.array([0, 1, 2])) << (PART + 2))[:, :, None, None]
             n = p[0].size
             yield pd.DataFrame({"at": p.ravel(), "a": np.repeat(part["seg"].to_numpy(), n), "fa": np.repeat(_packed(m), n)})
